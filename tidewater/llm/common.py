@@ -160,3 +160,28 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
             break
         before = state
     return e.groupBy(F.col("u").alias("v")).agg(F.min(F.col("v")).alias("label"))
+
+
+def with_columns(df: DataFrame, inputs: list, outputs: list[tuple[str, str]], fn, keep: list[str] | None = None) -> DataFrame:
+    """Columns `keep` of df (all by default) and new columns that fn computes from Arrow arrays of the `inputs` columns, batch by batch.
+
+    Columns are handled by position, so names of df may clash with anything here;
+    a kept column that has the name of a new one is replaced.
+    """
+    import pyarrow as pa
+
+    names = [n for n, _ in outputs]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
+    n_in, kinds = len(inputs), {f.name: f.dataType for f in df.schema.fields}
+    inner = df.select(*[x.alias(f"i{k}") for k, x in enumerate(inputs)], *[F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)])
+    columns = [f"k{k}" for k in range(len(keep))] + [f"o{k}" for k in range(len(outputs))]
+    schema = ", ".join([f"k{k} {kinds[c].simpleString()}" for k, c in enumerate(keep)] + [f"o{k} {t}" for k, (_, t) in enumerate(outputs)])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                new = fn(*batch.columns[:n_in])
+                yield pa.RecordBatch.from_arrays([*batch.columns[n_in:], *new], columns)
+
+    out = inner.mapInArrow(run, schema)
+    return out.select(*[F.col(c).alias(n) for c, n in zip(columns, [*keep, *names], strict=True)])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidewater.llm.decontaminate import op9_benchmark_decontamination
 from tidewater.llm.ngram_join import op7_ngram_jaccard_join
 
 QUERIES = {
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 SQL: dict[str, str] = {}
