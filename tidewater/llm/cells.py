@@ -22,13 +22,8 @@ BLOCK = 128
 
 def cells_of(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """Members (key long, vid long), distinct, to rows (key, vid, blk, n_blk) of the buckets worth verifying."""
-    code = F.xxhash64("vid")
-    stats = (
-        members.groupBy("key")
-        .agg(F.count("*").alias("n"), F.sum(code.cast("decimal(20,0)")).cast("string").alias("s"), F.bit_xor("vid").alias("x"))
-        .where("n >= 2")
-    )
-    kept = stats.groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key", "n")
+    stats = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("vid").alias("x"), F.bit_xor(F.xxhash64("vid")).alias("y")).where("n >= 2")
+    kept = stats.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     return members.join(kept, "key").select("key", "vid", F.pmod(F.xxhash64("vid", F.lit(7)), blocks).cast("int").alias("blk"), blocks.alias("n_blk"))
 
@@ -54,59 +49,74 @@ class Forest:
         return True
 
 
-def links(cells: DataFrame, payload: DataFrame, verify, schema_of_payload: list[str]) -> DataFrame:
-    """Edges (a long, b long) found in the cells.
+def spread(cells: DataFrame) -> DataFrame:
+    """Rows (key, lo, hi, vid, blk): each member in the cells of its block with every block of its bucket."""
+    rows = cells.select("key", "vid", "blk", F.explode(F.expr("sequence(0, n_blk - 1)")).alias("other"))
+    return rows.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "vid", "blk")
 
-    `payload` has one or more equal rows (vid, *schema_of_payload) of each member;
-    `verify(side, *columns)` gets the members' block side and payload arrays of one
-    cell and yields index pairs (i, j) that are linked; it may skip pairs that its
-    own earlier links already connect.
+
+def once(rows: DataFrame) -> DataFrame:
+    """Only one of the cells that have the same members on the same sides, and none of a single member."""
+    side = F.xxhash64("vid", F.when(F.col("lo") == F.col("hi"), 2).otherwise((F.col("blk") == F.col("lo")).cast("int")))
+    stats = rows.groupBy("key", "lo", "hi").agg(F.count("*").alias("n"), F.bit_xor(side).alias("x"), F.bit_xor(F.xxhash64(side)).alias("y"))
+    kept = stats.where("n >= 2").groupBy("n", "x", "y").agg(F.min(F.struct("key", "lo", "hi")).alias("c")).select("c.*")
+    return rows.join(kept, ["key", "lo", "hi"])
+
+
+def in_cells(rows: DataFrame, payload: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
+    """Run fn(key, lo, hi, vid, blk, side, *columns) once for each cell, streamed in sorted order; it yields rows of `schema`.
+
+    `payload` has one or more equal rows (vid, *columns) of each member. A task
+    holds one cell at a time, two blocks of members at most.
     """
-    spark = cells.sparkSession
-    rows = cells.join(payload, "vid").select("key", "vid", "blk", *schema_of_payload, F.explode(F.expr("sequence(0, n_blk - 1)")).alias("other"))
-    rows = rows.select("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "vid", "blk", *schema_of_payload)
-    rows = rows.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vid")
+    spark = rows.sparkSession
+    names = [x.split()[0] for x in schema.split(",")]
+    every = rows.join(payload, "vid").select("key", "lo", "hi", "vid", "blk", *columns)
+    every = every.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vid")
 
-    def emit(part: list[pa.RecordBatch]):
+    def cell(part: list[pa.RecordBatch]):
         group = pa.Table.from_batches(part)
         vid = group["vid"].to_numpy()
-        first = np.ones(len(vid), bool)
-        first[1:] = vid[1:] != vid[:-1]
-        if first.sum() < 2:
-            return [], []
-        at = np.flatnonzero(first)
-        blk, lo, hi = group["blk"].to_numpy()[at], group["lo"][0].as_py(), group["hi"][0].as_py()
-        side = None if lo == hi else blk == lo
-        a, b = [], []
-        columns = [group[c].take(pa.array(at)).combine_chunks() for c in schema_of_payload]
-        for i, j in verify(side, *columns):
-            a.append(vid[at[i]])
-            b.append(vid[at[j]])
-        return a, b
+        new = np.ones(len(vid), bool)
+        new[1:] = vid[1:] != vid[:-1]
+        at = np.flatnonzero(new)
+        if len(at) < 2:
+            return []
+        key, lo, hi = (group[c][0].as_py() for c in ("key", "lo", "hi"))
+        blk = group["blk"].to_numpy()[at]
+        if lo != hi and (blk == lo).all() | (blk == hi).all():
+            return []
+        taken = [group[c].take(pa.array(at)).combine_chunks() for c in columns]
+        return list(fn(key, lo, hi, vid[at], blk, None if lo == hi else blk == lo, *taken))
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int32() if n in ("lo", "hi", "blk") else pa.int64()) for n, x in zip(names, zip(*found, strict=True), strict=True)], names)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        last = None
+        last, found = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, lo, hi = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "lo", "hi"))
+            key, lo, hi = (batch.column(k).to_numpy() for k in range(3))
             new = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            a, b = [], []
             for i, j in zip([0, *new], [*new, len(key)], strict=True):
                 now = (key[i], lo[i], hi[i])
                 if now != last and held:
-                    x, y = emit(held)
-                    a += x
-                    b += y
+                    found += cell(held)
                     held = []
                 last = now
                 held.append(batch.slice(i, j - i))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
-        if held:
-            a, b = emit(held)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+            if found:
+                yield batch_of(found)
+                found = []
+        if held and (found := cell(held)):
+            yield batch_of(found)
+
+    return every.mapInArrow(run, schema)
+
+
+def pairs_mask(side: np.ndarray | None, n: int) -> np.ndarray:
+    """Which pairs a cell has to look at, as an upper triangle."""
+    mask = np.triu(np.ones((n, n), bool), 1)
+    return mask if side is None else mask & np.not_equal.outer(side, side)

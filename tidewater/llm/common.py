@@ -113,8 +113,14 @@ class Bitmap:
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
 
 
+def joined_key(k: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One key of two long columns."""
+    k = (k.view(np.uint64) ^ (other.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    return k ^ (k >> np.uint64(32))
+
+
 def bitmap(keys: DataFrame):
-    """Broadcast Bitmap of the one long column of `keys`. Its size is bounded by MAX_BITS; beyond that it only lets more rows pass."""
+    """Broadcast Bitmap of the one long column of `keys`, or of the joined_key of two. Its size is bounded by MAX_BITS; beyond that it only lets more rows pass."""
     spark = keys.sparkSession
     n = keys.count()
     size = min(MAX_BITS, max(MIN_BITS, 1 << int(max(1, 16 * n) - 1).bit_length()))
@@ -124,6 +130,8 @@ def bitmap(keys: DataFrame):
         for pdf in frames:
             any_rows = any_rows or len(pdf) > 0
             k = pdf.iloc[:, 0].to_numpy(np.int64).view(np.uint64)
+            if pdf.shape[1] > 1:
+                k = joined_key(k, pdf.iloc[:, 1].to_numpy(np.int64))
             at = (k ^ (k >> np.uint64(31))) & np.uint64(size - 1)
             np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         rows = list(blocks_of(bits)) if any_rows else []

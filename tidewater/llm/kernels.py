@@ -125,8 +125,12 @@ def shingles(row: np.ndarray, h: np.ndarray, rows: int, k: int):
             for i in range(n):
                 short = mix(short * U(_STEP) + h[at + i] + U(i + 1))
             out_row, out = np.concatenate([out_row, row[at]]), np.concatenate([out, mix(short + U(n << 32))])
-    order = np.lexsort((out, out_row))
-    out_row, out = out_row[order], out[order]
+    if (count[count > 0] < k).any():
+        order = np.argsort(out_row, kind="stable")
+        out_row, out = out_row[order], out[order]
+    edge = np.searchsorted(out_row, np.arange(rows + 1))
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        out[i:j].sort()
     new = np.ones(len(out), bool)
     new[1:] = (out_row[1:] != out_row[:-1]) | (out[1:] != out[:-1])
     return out_row[new], out[new]

@@ -3,10 +3,13 @@
 Tokens are 64-bit hashes of the k-word shingles of a text. Two sets whose
 Jaccard similarity reaches the threshold must share a token among the first
 n - ceil(t * n) + 1 of either, under *any* global order of tokens. Three orders
-are used. The first puts rare tokens first, by a count sketch of fixed size
-over all documents, and its prefixes are indexed: only texts that share a
-prefix token meet. Inside such a bucket the prefixes under the other two
-orders must intersect as well before the whole sets are compared.
+are used; the first two put rare tokens first, by a count sketch of fixed size
+over all documents. The prefixes under the first order are indexed together
+with a class of the set's size (sizes that the threshold allows to pair are at
+most one class apart, so each text stands in its own class and the next): only
+texts that share a prefix token and a class meet. Within such a bucket the
+prefixes under the other orders must intersect as well; only members that
+still have a partner are verified on their whole sets.
 
 Texts with equal sets are one node, so copies cost nothing; hot buckets are
 verified block by block (see cells.py). Sets and texts are identified by
@@ -21,14 +24,16 @@ give repeated result rows. Extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
-from tidewater.llm.cells import Forest, cells_of, links
-from tidewater.llm.common import BLOCK, Bitmap, bitmap, blocks_of, components, cut, merge_blocks, saved, table, unpack
+from tidewater.llm.cells import Forest, cells_of, in_cells, once, pairs_mask, spread
+from tidewater.llm.common import BLOCK, Bitmap, bitmap, blocks_of, components, cut, joined_key, merge_blocks, saved, table, unpack
 
 #: Slots of the count sketch (4 bytes each while counting, 1 byte when broadcast).
 SKETCH_SLOTS = 1 << 21
@@ -52,13 +57,18 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Frequency class (log2 of the count, in half steps) of each slot, over all documents."""
 
     def count(batches):
-        slots = np.zeros(SKETCH_SLOTS, np.uint32)
+        slots, held, size = np.zeros(SKETCH_SLOTS, np.uint32), [], 0
         for batch in batches:
             for i, j, data, offsets in K.pieces(batch.column(0)):
                 row, _, _, h = K.words(data, offsets, K.NOT_SPACE)
                 _, tokens = K.shingles(row, h, j - i, k)
-                at, n = np.unique((tokens >> np.uint64(40)) & np.uint64(SKETCH_SLOTS - 1), return_counts=True)
-                slots[at.astype(np.int64)] += n.astype(np.uint32)
+                held.append(((tokens >> np.uint64(40)) & np.uint64(SKETCH_SLOTS - 1)).astype(np.int32))
+                size += len(tokens)
+                if size > SKETCH_SLOTS:
+                    slots += np.bincount(np.concatenate(held), minlength=SKETCH_SLOTS).astype(np.uint32)
+                    held, size = [], 0
+        if held:
+            slots += np.bincount(np.concatenate(held), minlength=SKETCH_SLOTS).astype(np.uint32)
         rows = list(blocks_of(slots))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["block", "data"])
 
@@ -98,79 +108,103 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
         for batch in batches:
             ids = batch.column(0)
             for i, j, n, at, tokens in _sets(batch.column(1), k):
-                order = np.lexsort((_rank_keys(tokens, rarity.value, 0), np.repeat(np.arange(j - i), n)))
                 p = np.where(n > 0, _prefix_len(n, percent), 0)
-                take = np.repeat(at[:-1] - np.concatenate([[0], np.cumsum(p)[:-1]]), p) + np.arange(p.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), K.i64(tokens[order][take]))
+                ranks = [_rank_keys(tokens, rarity.value, order) for order in range(3)]
+                fronts: list[list] = [[], [], []]
+                for lo, hi, m in zip(at[:-1].tolist(), at[1:].tolist(), p.tolist(), strict=True):
+                    for front, rank in zip(fronts, ranks, strict=True):
+                        least = np.argpartition(rank[lo:hi], m - 1)[:m] if 0 < m < hi - lo else np.arange(hi - lo)
+                        front.append(tokens[lo:hi][least])
+                first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), K.i64(np.concatenate(fronts[0])))
+                others = [pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in f], pa.binary()) for f in fronts[1:]]
                 vid = pa.array(_vids(n, at, tokens).view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), vid, lists], ["doc_id", "n_shingles", "vid", "tokens"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), vid, first, *others], ["doc_id", "n_shingles", "vid", "tokens", "front1", "front2"])
+
+    rows = saved(docs.mapInArrow(describe, "doc_id long, n_shingles long, vid long, tokens array<long>, front1 binary, front2 binary"))
+    some = rows.where("vid IS NOT NULL")
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-1.000001 * math.log(percent / 100))).cast("long")
+    shared = some.select(F.explode("tokens").alias("key"), "vid").groupBy("key").agg(F.min("vid").alias("a"), F.max("vid").alias("b"))
+    wanted_tokens = bitmap(saved(shared.where("a <> b").select("key")))
 
-    rows = saved(docs.mapInArrow(describe, "doc_id long, n_shingles long, vid long, tokens array<long>"))
-    members = rows.where("vid IS NOT NULL").select(F.explode("tokens").alias("key"), "vid").distinct()
-    cells = cut(cells_of(members))
-    wanted = bitmap(cells.select("vid").distinct())
+    def candidates(batches):
+        want = Bitmap(wanted_tokens.value)
+        for batch in batches:
+            counts = np.diff(batch.column(2).offsets.to_numpy())
+            token = batch.column(2).flatten().to_numpy()
+            ok = want.has(token.view(np.uint64))
+            at = pa.array(np.repeat(np.arange(batch.num_rows), counts)[ok])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(token[ok])], ["vid", "step", "token"])
+
+    keyed = some.select("vid", step.alias("step"), "tokens").mapInArrow(candidates, "vid long, step long, token long")
+    keyed = keyed.select(F.explode(F.array(F.xxhash64("token", "step"), F.xxhash64("token", F.col("step") + 1))).alias("key"), "vid")
+    cells = spread(cells_of(cut(keyed.distinct())))
+
+    def survive(key, lo, hi, vid, blk, side, size, *fronts):
+        n = size.to_numpy()
+        able = pairs_mask(side, len(n)) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
+        for front in fronts:
+            if not able.any():
+                return
+            parts = [np.unique(np.frombuffer(x, np.uint32)) for x in front.to_pylist()]
+            owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            able &= _common(owner, np.concatenate(parts), len(parts)) > 0
+        for m in np.flatnonzero(able.any(0) | able.any(1)).tolist():
+            yield key, lo, hi, int(vid[m]), int(blk[m])
+
+    small = some.select("vid", "n_shingles", "front1", "front2")
+    cells = cut(once(cut(in_cells(cells, small, ["n_shingles", "front1", "front2"], survive, "key long, lo int, hi int, vid long, blk int"))))
+    first = some.groupBy("vid").agg(F.min("doc_id").alias("least"))
+    wanted = bitmap(cells.select("vid").distinct().join(first, "vid").select("vid", F.coalesce("least", F.lit(0))))
 
     def fetch(batches):
         want = Bitmap(wanted.value)
         for batch in batches:
-            for _, _, n, at, tokens in _sets(batch.column(0), k):
+            ids = batch.column(0).to_numpy()
+            for i, j, n, at, tokens in _sets(batch.column(1), k):
                 vid = _vids(n, at, tokens)
-                hit = np.flatnonzero((n > 0) & want.has(vid))
+                hit = np.flatnonzero((n > 0) & want.has(joined_key(vid.view(np.int64), ids[i:j])))
                 _, once = np.unique(vid[hit], return_index=True)
                 hit = hit[once]
                 sets = [tokens[at[r] : at[r + 1]].tobytes() for r in hit]
                 yield pa.RecordBatch.from_arrays([K.i64(vid[hit]), pa.array(sets, pa.binary())], ["vid", "tokens"])
 
-    def verify(side, column):
+    def verify(key, lo, hi, vid, blk, side, column):
         sets = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
         n = np.array([len(x) for x in sets])
-        every = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), n)
-        _, code, df = np.unique(every, return_inverse=True, return_counts=True)
-        able = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
-        able &= np.triu(np.ones_like(able), 1).astype(bool) if side is None else np.logical_and.outer(side, ~side) | np.logical_and.outer(~side, side)
-        p = _prefix_len(n, percent)
-        for order in (1, 2):
-            if able.any():
-                by = np.lexsort((_rank_keys(every, rarity.value, order), owner))
-                front = np.zeros(len(every), bool)
-                place = np.arange(len(every)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-                front[by] = place < p[owner]
-                able &= _common(owner[front], code[front], df, len(sets)) > 0
-        if not able.any():
-            return
-        inter = _common(owner, code, df, len(sets))
-        able &= 100 * inter >= percent * (np.add.outer(n, n) - inter)
+        inter = _common(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), len(sets))
+        able = pairs_mask(side, len(sets)) & (100 * inter >= percent * (np.add.outer(n, n) - inter))
         forest = Forest(len(sets))
         for i, j in zip(*np.nonzero(able), strict=True):
             if forest.join(int(i), int(j)):
-                yield int(i), int(j)
+                yield int(vid[i]), int(vid[j])
 
-    payload = docs.select("text").mapInArrow(fetch, "vid long, tokens binary")
-    edges = cut(links(cells, payload, verify, ["tokens"]).distinct())
+    payload = docs.select(F.coalesce("doc_id", F.lit(0)), "text").mapInArrow(fetch, "vid long, tokens binary")
+    edges = cut(in_cells(cells, payload, ["tokens"], verify, "a long, b long").distinct())
     label = components(edges)
-    nodes = rows.where("vid IS NOT NULL").groupBy("vid").agg(F.min("doc_id").alias("least"))
-    nodes = cut(nodes.join(label.withColumnRenamed("v", "vid"), "vid", "left").select("vid", "least", F.coalesce("label", "vid").alias("label")))
+    nodes = cut(first.join(label.withColumnRenamed("v", "vid"), "vid", "left").select("vid", "least", F.coalesce("label", "vid").alias("label")))
     groups = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     of = nodes.join(groups, "label").select("vid", "component_id")
     out = rows.select("doc_id", "n_shingles", "vid").join(of, "vid", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _common(owner: np.ndarray, code: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+def _common(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
     """Sizes of all pairwise intersections in one cell, over tokens that more than one member has, a slab of tokens at a time."""
-    keep = df[code] > 1
-    owner, code = owner[keep], code[keep]
     out = np.zeros((n, n), np.int64)
+    by = np.argsort(tokens, kind="stable")
+    owner, tokens = owner[by], tokens[by]
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    code = np.cumsum(new) - 1
+    keep = np.bincount(code, minlength=1)[code] > 1
+    owner, code = owner[keep], code[keep]
     if not len(code):
         return out
-    ids, code = np.unique(code, return_inverse=True)
+    code = np.cumsum(np.concatenate([[0], code[1:] != code[:-1]]))
     slab = max(1, (1 << 22) // n)
-    by = np.argsort(code, kind="stable")
-    owner, code = owner[by], code[by]
-    for lo in range(0, len(ids), slab):
+    for lo in range(0, int(code[-1]) + 1, slab):
         a, b = np.searchsorted(code, (lo, lo + slab))
-        m = np.zeros((n, min(slab, len(ids) - lo)), np.float32)
+        m = np.zeros((n, min(slab, int(code[-1]) + 1 - lo)), np.float32)
         m[owner[a:b], code[a:b] - lo] = 1
         out += np.rint(m @ m.T).astype(np.int64)
     return out
