@@ -138,3 +138,29 @@ def shingles(row: np.ndarray, h: np.ndarray, rows: int, k: int):
 
 def i64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+class HashIndex:
+    """Positions of 64-bit hashes in an array of distinct ones: a few direct tables, a gather each."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.ascontiguousarray(keys).view(U)
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.tables: list[np.ndarray] = []
+        left = np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            t = np.full(1 << self.bits, -1, np.int32)
+            slot = self._slot(self.keys[left], len(self.tables))
+            t[slot] = left
+            self.tables.append(t)
+            left = left[t[slot] != left]
+
+    def _slot(self, h: np.ndarray, level: int) -> np.ndarray:
+        return (h * U(2 * level + 1) + U(level)) >> U(64 - self.bits)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int32)
+        for level, t in enumerate(self.tables):
+            at = t[self._slot(h, level)]
+            out = np.where((at >= 0) & (self.keys[at] == h), at, out)
+        return out
