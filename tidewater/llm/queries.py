@@ -6,12 +6,14 @@ from tidewater.llm.decontaminate import op9_benchmark_decontamination
 from tidewater.llm.langid import op8_language_id
 from tidewater.llm.line_dedup import op3_line_dedup
 from tidewater.llm.ngram_join import op7_ngram_jaccard_join
+from tidewater.llm.pieces import op10_sentencepiece
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 SQL: dict[str, str] = {}
