@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewater.llm.decontaminate import op9_benchmark_decontamination
+from tidewater.llm.hmm import op4_hmm_language_model
 from tidewater.llm.langid import op8_language_id
 from tidewater.llm.line_dedup import op3_line_dedup
 from tidewater.llm.ngram_join import op7_ngram_jaccard_join
@@ -10,6 +11,7 @@ from tidewater.llm.pieces import op10_sentencepiece
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_hmm_language_model": op4_hmm_language_model,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
