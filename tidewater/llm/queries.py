@@ -5,11 +5,15 @@ from __future__ import annotations
 from tidewater.llm.decontaminate import op9_benchmark_decontamination
 from tidewater.llm.hmm import op4_hmm_language_model
 from tidewater.llm.langid import op8_language_id
+from tidewater.llm.licences import OP2_SQL, op2_licence_scan
 from tidewater.llm.line_dedup import op3_line_dedup
 from tidewater.llm.ngram_join import op7_ngram_jaccard_join
 from tidewater.llm.pieces import op10_sentencepiece
+from tidewater.llm.secrets import OP1_SQL, op1_secret_scan
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_licence_scan": op2_licence_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_hmm_language_model": op4_hmm_language_model,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
@@ -18,4 +22,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_secret_scan": OP1_SQL,
+    "op2_licence_scan": OP2_SQL,
+}
