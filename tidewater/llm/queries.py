@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewater.llm.ann import op5_nearest_neighbours
 from tidewater.llm.decontaminate import op9_benchmark_decontamination
 from tidewater.llm.hmm import op4_hmm_language_model
 from tidewater.llm.langid import op8_language_id
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_licence_scan": op2_licence_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_hmm_language_model": op4_hmm_language_model,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
