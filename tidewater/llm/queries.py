@@ -11,6 +11,7 @@ from tidewater.llm.line_dedup import op3_line_dedup
 from tidewater.llm.ngram_join import op7_ngram_jaccard_join
 from tidewater.llm.pieces import op10_sentencepiece
 from tidewater.llm.secrets import OP1_SQL, op1_secret_scan
+from tidewater.llm.wrappers import op6_html_extraction
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_hmm_language_model": op4_hmm_language_model,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_html_extraction": op6_html_extraction,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
