@@ -148,11 +148,12 @@ def test_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORD
         yield Tests(held, window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, block_words: int = BLOCK_WORDS, prefix: str = "") -> DataFrame:
     """Columns of docs (those in `keep`; the text must be among all of them) with n_words, n_hit, items array<string>,
-    longest (words of the longest verbatim match) and longest_at (its first word in the document, -1: none)."""
+    longest (words of the longest verbatim match) and longest_at (its first word in the document, -1: none); the new names begin with prefix."""
     spark = docs.sparkSession
     new = [("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"), ("longest", "bigint"), ("longest_at", "bigint"), ("__hit", "binary")]
+    new = [(prefix + n, t) for n, t in new]
     wanted = list(docs.columns if keep is None else keep)
     blocks = list(test_blocks(benchmark, window, block_words)) or [None]
     for k, block in enumerate(blocks):
@@ -165,7 +166,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         text = F.col("text").cast("string")
         old = [F.col(c) for c, _ in new[2:]] if k else []
         docs = with_columns(docs, [text, *old], new, mark, None if k + 1 < len(blocks) else wanted)
-    return docs.drop("__hit")
+    return docs.drop(f"{prefix}__hit")
 
 
 def _mark(tests, data, offsets, at, old):
@@ -206,6 +207,17 @@ def _mark(tests, data, offsets, at, old):
 SHARE = 20
 
 
+def is_contaminated(prefix: str = "") -> F.Column:
+    n_hit, n_words = F.col(f"{prefix}n_hit"), F.col(f"{prefix}n_words")
+    return (n_hit > 0) & (n_hit * SHARE >= n_words)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, all columns as they are, that are not contaminated."""
+    found = contamination(docs, benchmark, prefix="__ct_").where(~is_contaminated("__ct_"))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -214,7 +226,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        (F.expr("n_hit > 0") & (F.col("n_hit") * SHARE >= F.col("n_words"))).alias("contaminated"),
+        is_contaminated().alias("contaminated"),
         "longest",
         "longest_at",
     )

@@ -233,8 +233,8 @@ class Scorer:
 _scorers: list[tuple] = []
 
 
-def identify(docs: DataFrame, model, keep: list[str] | None = None) -> DataFrame:
-    """The rows of docs with lang_pred and score; `model` comes from fit()."""
+def identify(docs: DataFrame, model, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The rows of docs with lang_pred and score, names that begin with prefix; `model` comes from fit()."""
 
     def predict(text):
         if not model.value[1]:
@@ -243,7 +243,14 @@ def identify(docs: DataFrame, model, keep: list[str] | None = None) -> DataFrame
             _scorers[:] = [(model.value, Scorer(*model.value))]
         return _scorers[0][1](text)
 
-    return with_columns(docs, [F.col("text").cast("string")], [("lang_pred", "string"), ("score", "double")], predict, keep)
+    return with_columns(docs, [F.col("text").cast("string")], [(f"{prefix}lang_pred", "string"), (f"{prefix}score", "double")], predict, keep)
+
+
+def with_language(docs: DataFrame, model_path: str = piece_model.DEFAULT_MODEL) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language (not `und`)."""
+    model = fit(docs.select("doc_id", "text", "lang"), model_path)
+    found = identify(docs, model, prefix="__li_").where("__li_lang_pred <> 'und'")
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

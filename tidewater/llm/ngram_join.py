@@ -210,5 +210,20 @@ def _common(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns as they are, without near duplicates: of each group the row of the smallest doc_id stays.
+
+    Of rows that repeat a doc_id one stays; rows with a null doc_id cannot be told apart and stay.
+    """
+    found = ngram_components(docs.select("doc_id", "text"), k, percent)
+    gone = cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
+    out = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id")))
+    if repeated.isEmpty():
+        return out
+    known = out.join(repeated, out["doc_id"] == repeated["__id"], "left_semi").dropDuplicates(["doc_id"])
+    return out.join(repeated, out["doc_id"] == repeated["__id"], "left_anti").unionByName(known)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))

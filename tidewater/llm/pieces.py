@@ -133,11 +133,12 @@ def decode(docs: DataFrame, model_path: str = P.DEFAULT_MODEL, keep: list[str] |
     return with_columns(docs, [F.col("ids")], [("text", "string")], run, keep)
 
 
-def digests(docs: DataFrame, model_path: str = P.DEFAULT_MODEL, threads: int = 2, keep: list[str] | None = None) -> DataFrame:
-    """The rows of docs with n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), n_bytes (ids of byte pieces)
+def digests(docs: DataFrame, model_path: str = P.DEFAULT_MODEL, threads: int = 2, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """The rows of docs with the ids themselves (if asked for), n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers), n_bytes (ids of byte pieces)
     and round_trip (whether decoding the ids gives the text again); all null for a null text."""
     model = docs.sparkSession.sparkContext.broadcast(P.load(model_path))
     new = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("n_bytes", "bigint"), ("round_trip", "boolean")]
+    new += [("ids", "array<int>")] * with_ids
 
     def run(text):
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true", str(threads)
@@ -147,11 +148,11 @@ def digests(docs: DataFrame, model_path: str = P.DEFAULT_MODEL, threads: int = 2
         for texts in _batches(text):
             for t, ids in zip(texts, c.encode([t or "" for t in texts]), strict=True):
                 if t is None:
-                    out.append((None, None, None, None))
+                    out.append((None,) * 5)
                     continue
                 a = np.array(ids, "<i4")
-                out.append((len(ids), hashlib.sha256(a.tobytes()).hexdigest(), int(is_byte[a].sum()), c.decode(ids) == t))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_())
+                out.append((len(ids), hashlib.sha256(a.tobytes()).hexdigest(), int(is_byte[a].sum()), c.decode(ids) == t, a if with_ids else None))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))[: len(new)]
         return [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
 
     return with_columns(docs, [F.col("text").cast("string")], new, run, keep)
