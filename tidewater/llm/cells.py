@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import partitions
+from tidewater.llm.common import arrow_map, partitions
 
 #: Members in one block of a bucket.
 BLOCK = 128
@@ -113,7 +113,7 @@ def in_cells(rows: DataFrame, payload: DataFrame, columns: list[str], fn, schema
         if held and (found := cell(held)):
             yield batch_of(found)
 
-    return every.mapInArrow(run, schema)
+    return every.transform(arrow_map, run, schema)
 
 
 def pairs_mask(side: np.ndarray | None, n: int) -> np.ndarray:

@@ -16,7 +16,18 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 
 
+#: Rows that Spark hands to a Python worker at once, where the session has Spark's own default of 10,000: texts are large.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """Write as Parquet in the shared folder and read back; removed when the driver exits."""
     spark = df.sparkSession
+    lean(spark)
     path = f"{shared_dir(spark)}/tidewater-{uuid.uuid4().hex}"
     df.write.parquet(path)
 
@@ -56,6 +68,13 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -122,6 +141,7 @@ def joined_key(k: np.ndarray, other: np.ndarray) -> np.ndarray:
 def bitmap(keys: DataFrame):
     """Broadcast Bitmap of the one long column of `keys`, or of the joined_key of two. Its size is bounded by MAX_BITS; beyond that it only lets more rows pass."""
     spark = keys.sparkSession
+    lean(spark)
     n = keys.count()
     size = min(MAX_BITS, max(MIN_BITS, 1 << int(max(1, 16 * n) - 1).bit_length()))
 
@@ -146,7 +166,7 @@ def bitmap(keys: DataFrame):
 
 
 def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
-    """Connected components of edges (a long, b long): rows (v, label), label the smallest vertex reachable; isolated vertices are absent.
+    """Connected components of edges (a long, b long): rows (v, label), label the smallest vertex reachable; a vertex that is its own label is absent.
 
     Alternates large-star and small-star steps; every step is a groupBy with map-side
     combine and a join that adaptive execution can split, and no vertex's
@@ -170,6 +190,19 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
     return e.groupBy(F.col("u").alias("v")).agg(F.min(F.col("v")).alias("label"))
 
 
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """mapInArrow in small batches that gives memory back when its partition ends."""
+    from tidewater.llm.kernels import release
+
+    lean(df.sparkSession)
+
+    def run(batches):
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
 def with_columns(df: DataFrame, inputs: list, outputs: list[tuple[str, str]], fn, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of df (all by default) and new columns that fn computes from Arrow arrays of the `inputs` columns, batch by batch.
 
@@ -191,5 +224,5 @@ def with_columns(df: DataFrame, inputs: list, outputs: list[tuple[str, str]], fn
                 new = fn(*batch.columns[:n_in])
                 yield pa.RecordBatch.from_arrays([*batch.columns[n_in:], *new], columns)
 
-    out = inner.mapInArrow(run, schema)
+    out = arrow_map(inner, run, schema)
     return out.select(*[F.col(c).alias(n) for c, n in zip(columns, [*keep, *names], strict=True)])

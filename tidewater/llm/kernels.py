@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -25,7 +27,7 @@ ALNUM[0x80:] = True
 
 _powers = [np.ones(1, U), np.ones(1, U)]
 #: Bytes that one call of a kernel takes, unless one text is longer.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,3 +166,12 @@ class HashIndex:
             at = t[self._slot(h, level)]
             out = np.where((at >= 0) & (self.keys[at] == h), at, out)
         return out
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass

@@ -8,8 +8,10 @@ over all documents. The prefixes under the first order are indexed together
 with a class of the set's size (sizes that the threshold allows to pair are at
 most one class apart, so each text stands in its own class and the next): only
 texts that share a prefix token and a class meet. Within such a bucket the
-prefixes under the other orders must intersect as well; only members that
-still have a partner are verified on their whole sets.
+prefixes under the second order must intersect and may differ only as far as
+linked sets do; members that still have a partner come with their whole sets,
+whose prefixes must intersect under the third order too before they are
+compared.
 
 Texts with equal sets are one node, so copies cost nothing; hot buckets are
 verified block by block (see cells.py). Sets and texts are identified by
@@ -33,10 +35,12 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
 from tidewater.llm.cells import Forest, cells_of, in_cells, once, pairs_mask, spread
-from tidewater.llm.common import BLOCK, Bitmap, bitmap, blocks_of, components, cut, joined_key, merge_blocks, saved, table, unpack
+from tidewater.llm.common import BLOCK, Bitmap, arrow_map, bitmap, blocks_of, components, cut, joined_key, merge_blocks, saved, table, unpack, unused
 
 #: Slots of the count sketch (4 bytes each while counting, 1 byte when broadcast).
 SKETCH_SLOTS = 1 << 21
+#: Members in one block of a bucket; a cell holds the sets of two blocks at most.
+CELL_BLOCK = 384
 _SEEDS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
 
@@ -53,6 +57,27 @@ def _prefix_len(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
+def _index_len(n: np.ndarray, percent: int) -> np.ndarray:
+    """Of two linked sets the smaller one shares a token among as many of its first with the prefix of the larger."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def _may_match(fronts: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose prefixes share a token and differ in no more tokens than linked sets may.
+
+    Prefixes are sorted ranks, cut to 32 bits: equal ranks may be different tokens, so that
+    only what lies below the end of both prefixes, and is not equal, counts as a difference.
+    """
+    size = np.array([len(x) for x in fronts])
+    owner, every = np.repeat(np.arange(len(fronts)), size), np.concatenate(fronts)
+    shared = _common(owner, every, len(fronts))
+    whole = size == n
+    last = np.array([np.inf if w else x[-1] for x, w in zip(fronts, whole, strict=True)])
+    below = np.stack([np.searchsorted(x, np.minimum(last, last[i])) for i, x in enumerate(fronts)])
+    differ = below + below.T - 2 * shared
+    return (shared > 0) & (differ * (100 + percent) <= np.add.outer(n, n) * (100 - percent))
+
+
 def sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Frequency class (log2 of the count, in half steps) of each slot, over all documents."""
 
@@ -72,7 +97,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
         rows = list(blocks_of(slots))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["block", "data"])
 
-    parts = docs.select("text").mapInArrow(count, "block int, data binary")
+    parts = docs.select("text").transform(arrow_map, count, "block int, data binary")
     out = np.zeros(SKETCH_SLOTS, np.uint8)
     for row in merge_blocks(parts, "uint32", "add").toLocalIterator():
         part = unpack(row["data"], "uint32")
@@ -109,22 +134,24 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
             ids = batch.column(0)
             for i, j, n, at, tokens in _sets(batch.column(1), k):
                 p = np.where(n > 0, _prefix_len(n, percent), 0)
-                ranks = [_rank_keys(tokens, rarity.value, order) for order in range(3)]
-                fronts: list[list] = [[], [], []]
+                q = np.where(n > 0, _index_len(n, percent), 0)
+                rank0, rank1 = (_rank_keys(tokens, rarity.value, order) for order in (0, 1))
+                first, front = [np.zeros(0, np.uint64)], []
                 for lo, hi, m in zip(at[:-1].tolist(), at[1:].tolist(), p.tolist(), strict=True):
-                    for front, rank in zip(fronts, ranks, strict=True):
-                        least = np.argpartition(rank[lo:hi], m - 1)[:m] if 0 < m < hi - lo else np.arange(hi - lo)
-                        front.append(tokens[lo:hi][least])
-                first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), K.i64(np.concatenate(fronts[0])))
-                others = [pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in f], pa.binary()) for f in fronts[1:]]
+                    least = np.argpartition(rank0[lo:hi], m - 1)[:m] if 0 < m < hi - lo else np.arange(hi - lo)
+                    first.append(tokens[lo:hi][least[np.argsort(rank0[lo:hi][least])]])
+                    least = np.partition(rank1[lo:hi], m - 1)[:m] if 0 < m < hi - lo else rank1[lo:hi]
+                    front.append(np.sort(least >> np.uint64(32)).astype(np.uint32).tobytes())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), K.i64(np.concatenate(first)))
                 vid = pa.array(_vids(n, at, tokens).view(np.int64), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), vid, first, *others], ["doc_id", "n_shingles", "vid", "tokens", "front1", "front2"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n.astype(np.int64)), vid, pa.array(q.astype(np.int32)), lists, pa.array(front, pa.binary())], ["doc_id", "n_shingles", "vid", "n_index", "tokens", "front"])
 
-    rows = saved(docs.mapInArrow(describe, "doc_id long, n_shingles long, vid long, tokens array<long>, front1 binary, front2 binary"))
+    rows = saved(docs.transform(arrow_map, describe, "doc_id long, n_shingles long, vid long, n_index int, tokens array<long>, front binary"))
     some = rows.where("vid IS NOT NULL")
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-1.000001 * math.log(percent / 100))).cast("long")
-    shared = some.select(F.explode("tokens").alias("key"), "vid").groupBy("key").agg(F.min("vid").alias("a"), F.max("vid").alias("b"))
-    wanted_tokens = bitmap(saved(shared.where("a <> b").select("key")))
+    placed = some.select("vid", "n_index", F.posexplode("tokens").alias("at", "key")).select("key", "vid", (F.col("at") < F.col("n_index")).alias("indexed"))
+    shared = placed.groupBy("key").agg(F.min("vid").alias("a"), F.max("vid").alias("b"), F.max("indexed").alias("indexed"))
+    wanted_tokens = bitmap(saved(shared.where("a <> b AND indexed").select("key")))
 
     def candidates(batches):
         want = Bitmap(wanted_tokens.value)
@@ -135,24 +162,25 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
             at = pa.array(np.repeat(np.arange(batch.num_rows), counts)[ok])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(token[ok])], ["vid", "step", "token"])
 
-    keyed = some.select("vid", step.alias("step"), "tokens").mapInArrow(candidates, "vid long, step long, token long")
+    keyed = some.select("vid", step.alias("step"), "tokens").transform(arrow_map, candidates, "vid long, step long, token long")
     keyed = keyed.select(F.explode(F.array(F.xxhash64("token", "step"), F.xxhash64("token", F.col("step") + 1))).alias("key"), "vid")
-    cells = spread(cells_of(cut(keyed.distinct())))
+    buckets = cut(cells_of(cut(keyed.distinct()), CELL_BLOCK))
+    # A pair is looked at in one bucket only, the smallest key that it shares.
+    small = some.select("vid", "n_shingles", "front").join(buckets.groupBy("vid").agg(F.collect_list("key").alias("keys")), "vid")
 
-    def survive(key, lo, hi, vid, blk, side, size, *fronts):
+    def survive(key, lo, hi, vid, blk, side, size, keys, front):
         n = size.to_numpy()
         able = pairs_mask(side, len(n)) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
-        for front in fronts:
-            if not able.any():
-                return
-            parts = [np.unique(np.frombuffer(x, np.uint32)) for x in front.to_pylist()]
-            owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-            able &= _common(owner, np.concatenate(parts), len(parts)) > 0
+        if not able.any():
+            return
+        mine, owner = keys.flatten().to_numpy(), np.repeat(np.arange(len(n)), np.diff(keys.offsets.to_numpy()))
+        able &= _common(owner[mine < key], mine[mine < key], len(n)) == 0
+        if able.any():
+            able &= _may_match([np.frombuffer(x, np.uint32) for x in front.to_pylist()], n, percent)
         for m in np.flatnonzero(able.any(0) | able.any(1)).tolist():
             yield key, lo, hi, int(vid[m]), int(blk[m])
 
-    small = some.select("vid", "n_shingles", "front1", "front2")
-    cells = cut(once(cut(in_cells(cells, small, ["n_shingles", "front1", "front2"], survive, "key long, lo int, hi int, vid long, blk int"))))
+    cells = cut(once(cut(in_cells(spread(buckets), small, ["n_shingles", "keys", "front"], survive, "key long, lo int, hi int, vid long, blk int"))))
     first = some.groupBy("vid").agg(F.min("doc_id").alias("least"))
     wanted = bitmap(cells.select("vid").distinct().join(first, "vid").select("vid", F.coalesce("least", F.lit(0))))
 
@@ -171,14 +199,21 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     def verify(key, lo, hi, vid, blk, side, column):
         sets = [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
         n = np.array([len(x) for x in sets])
+        able = pairs_mask(side, len(sets)) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
+        p = _prefix_len(n, percent)
+        for order in (0, 1, 2):
+            heads = [x[np.argpartition(_rank_keys(x, rarity.value, order), m - 1)[:m]] if m < len(x) else x for x, m in zip(sets, p.tolist(), strict=True)]
+            able &= _common(np.repeat(np.arange(len(sets)), p), np.concatenate(heads), len(sets)) > 0
+            if not able.any():
+                return
         inter = _common(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), len(sets))
-        able = pairs_mask(side, len(sets)) & (100 * inter >= percent * (np.add.outer(n, n) - inter))
+        able &= 100 * inter >= percent * (np.add.outer(n, n) - inter)
         forest = Forest(len(sets))
         for i, j in zip(*np.nonzero(able), strict=True):
             if forest.join(int(i), int(j)):
                 yield int(vid[i]), int(vid[j])
 
-    payload = docs.select(F.coalesce("doc_id", F.lit(0)), "text").mapInArrow(fetch, "vid long, tokens binary")
+    payload = docs.select(F.coalesce("doc_id", F.lit(0)), "text").transform(arrow_map, fetch, "vid long, tokens binary")
     edges = cut(in_cells(cells, payload, ["tokens"], verify, "a long, b long").distinct())
     label = components(edges)
     nodes = cut(first.join(label.withColumnRenamed("v", "vid"), "vid", "left").select("vid", "least", F.coalesce("label", "vid").alias("label")))
@@ -216,14 +251,30 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of rows that repeat a doc_id one stays; rows with a null doc_id cannot be told apart and stay.
     """
     found = ngram_components(docs.select("doc_id", "text"), k, percent)
-    gone = cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct())
-    out = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__id")))
+    mark = unused(docs, "__id")
+    own = F.col("doc_id").cast("long")
+    gone = cut(found.where("component_id <> doc_id").select(F.col("doc_id").alias(mark)).distinct())
+    out = docs.join(gone, own == F.col(mark), "left_anti")
+    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy(own.alias(mark)).agg(F.count("*").alias(f"{mark}n")).where(F.col(f"{mark}n") > 1).select(mark))
     if repeated.isEmpty():
         return out
-    known = out.join(repeated, out["doc_id"] == repeated["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return out.join(repeated, out["doc_id"] == repeated["__id"], "left_anti").unionByName(known)
+    one = out.join(repeated, own == F.col(mark), "left_semi").dropDuplicates(["doc_id"])
+    return out.join(repeated, own == F.col(mark), "left_anti").unionByName(one)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d),
+e AS (SELECT r, len(sh) AS n, unnest(sh) AS t FROM s),
+p AS (SELECT a.r AS x, b.r AS y FROM e a JOIN e b ON a.t = b.t AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+l AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+reach AS (SELECT r AS a, r AS b FROM s UNION SELECT reach.a, l.y FROM reach JOIN l ON reach.b = l.x),
+c AS (SELECT reach.a AS r, min(s.doc_id) AS component_id FROM reach JOIN s ON s.r = reach.b GROUP BY 1)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN c USING (r)
+"""
