@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
-from tidewater.llm.common import table, with_columns
+from tidewater.llm.common import table, unused, with_columns
 
 #: Words in a window; shorter items are one window.
 WINDOW = 13
@@ -214,7 +214,8 @@ def is_contaminated(prefix: str = "") -> F.Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns as they are, that are not contaminated."""
-    found = contamination(docs, benchmark, prefix="__ct_").where(~is_contaminated("__ct_"))
+    mark = unused(docs, "__ct_")
+    found = contamination(docs, benchmark, prefix=mark).where(~is_contaminated(mark))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -230,3 +231,24 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "longest",
         "longest_at",
     )
+
+
+def _sql() -> str:
+    words = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS k, CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+iw AS (SELECT k, item, n, s, array_to_string(w[s:s + n - 1], ' ') AS t FROM (SELECT *, least({WINDOW}, len(w)) AS n FROM i WHERE len(w) > 0) x, unnest(range(1, len(w) - n + 2)) u(s)),
+dw AS (SELECT r, n, p, array_to_string(w[p:p + n - 1], ' ') AS t FROM (SELECT d.*, n FROM d, (SELECT DISTINCT n FROM iw) z WHERE len(w) >= n) x, unnest(range(1, len(w) - n + 2)) u(p)),
+m AS (SELECT r, k, item, n, s, p FROM dw JOIN iw USING (n, t)),
+h AS (SELECT r, count(DISTINCT q) AS n_hit FROM m, unnest(range(p, p + n)) u(q) GROUP BY r),
+runs AS (SELECT r, count(*) + n - 1 AS length, min(p) - 1 AS first_word FROM (SELECT *, p - row_number() OVER (PARTITION BY r, k, n, p - s ORDER BY p) AS island FROM m) x GROUP BY r, k, n, p - s, island),
+best AS (SELECT r, max(length) AS longest, min(first_word) FILTER (WHERE length = most) AS longest_at FROM (SELECT *, max(length) OVER (PARTITION BY r) AS most FROM runs) x GROUP BY r),
+t AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(coalesce(longest_at, -1) AS BIGINT) AS longest_at
+FROM d LEFT JOIN h USING (r) LEFT JOIN best USING (r) LEFT JOIN t USING (r)
+"""
+
+
+OP9_SQL = _sql()

@@ -16,8 +16,7 @@ cuts texts into segments of SEGMENT tokens; a segment that continues a text
 starts in the stationary distribution. Scoring never cuts: the scaled forward
 recursion runs over each whole text, many texts in step.
 
-Memory: the counts of the HEAD most frequent tokens are broadcast (a fixed
-number); the counts of all others meet the texts in a join, which is free of
+Memory: the counts of at most HEAD most frequent tokens are broadcast; the counts of all others meet the texts in a join, which is free of
 hot keys since those are broadcast.
 
 Defined results: null and empty texts are the end token alone; a null doc_id
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
-from tidewater.llm.common import BLOCK, blocks_of, merge_blocks, saved, table, unpack
+from tidewater.llm.common import BLOCK, arrow_map, blocks_of, merge_blocks, saved, table, unpack
 
 STATES, MODEL_WORDS, TAIL_CLASSES, HEAD = 8, 8192, 256, 1 << 17
 SAMPLE_DOCS, SAMPLE_SEGMENTS, WARM, PASSES, SEGMENT = 1500, 4000, 8, 1, 128
@@ -87,7 +86,7 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             yield flush(*held)
 
     # The kind follows from the token, so that grouping by both is grouping by the token.
-    return docs.select("text").mapInArrow(count, "h long, kind int, n long").groupBy("h", "kind").agg(F.sum("n").alias("n"))
+    return docs.select("text").transform(arrow_map, count, "h long, kind int, n long").groupBy("h", "kind").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -212,7 +211,15 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     train = docs.where(~held_out())
     counts = saved(count_tokens(train))
     vocabulary, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(HEAD).select("h", "kind", "n").toPandas()
+    # The head is whole eighths of octaves of counts, as many as have HEAD tokens at most together.
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    least, size = None, 0
+    for at, n in sorted(counts.groupBy(level.alias("at")).agg(F.count("*")).collect(), reverse=True):
+        if size + n > HEAD:
+            break
+        least, size = at, size + n
+    top = counts.where(level >= least if least is not None else F.lit(False)).select("h", "kind", "n").toPandas()
+    top = top.sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
     # Tail classes are of all tokens but the model's own words.
     kinds_n, kinds_v = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     for kind, n, v in counts.groupBy("kind").agg(F.sum("n"), F.count("*")).collect():
@@ -266,7 +273,7 @@ def _pass(train: DataFrame, model: Model):
         rows = list(blocks_of(total))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["block", "data"])
 
-    merged = merge_blocks(train.select("text").mapInArrow(run, "block int, data binary"), "float64", "add")
+    merged = merge_blocks(train.select("text").transform(arrow_map, run, "block int, data binary"), "float64", "add")
     total = np.zeros(sum(sizes))
     for row in merged.collect():
         part = unpack(row["data"], "float64")
@@ -342,7 +349,7 @@ def score(docs: DataFrame) -> DataFrame:
                     ["doc_id", "key", "n_tokens", "n_known", "base", "value", "tail", "tf"],
                 )
 
-    rows = saved(docs.mapInArrow(run, "doc_id long, key long, n_tokens long, n_known long, base double, value double, tail array<long>, tf array<int>"))
+    rows = saved(docs.transform(arrow_map, run, "doc_id long, key long, n_tokens long, n_known long, base double, value double, tail array<long>, tf array<int>"))
     tail = rows.where("size(tail) > 0").select("key", F.explode(F.arrays_zip("tail", "tf")).alias("t")).select("key", F.col("t.tail").alias("h"), F.col("t.tf").alias("tf"))
     met = tail.join(counts.select("h", "n"), "h")
     sums = met.groupBy("key").agg(F.sum("tf").alias("known"), F.sum(F.col("tf") * F.log10(F.col("n") + 1.0)).alias("log"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
 from tidewater.llm import piece_model
-from tidewater.llm.common import table, with_columns
+from tidewater.llm.common import arrow_map, table, unused, with_columns
 
 SAMPLE_DOCS = 600
 FOLDS, ITERATIONS = 5, 4
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, model_path: str = piece_model.DEFAULT_MODEL, sample_doc
                         found[key] = found.get(key, 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
 
-        words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        words = sample.transform(arrow_map, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         counts = [tuple(r) for r in words.toLocalIterator()]
     total = sum(sizes.values())
     languages, prob, floor = train(counts, vocabulary) if counts else ([], None, None)
@@ -249,7 +249,8 @@ def identify(docs: DataFrame, model, keep: list[str] | None = None, prefix: str
 def with_language(docs: DataFrame, model_path: str = piece_model.DEFAULT_MODEL) -> DataFrame:
     """The rows of docs, all columns as they are, whose text has a language (not `und`)."""
     model = fit(docs.select("doc_id", "text", "lang"), model_path)
-    found = identify(docs, model, prefix="__li_").where("__li_lang_pred <> 'und'")
+    mark = unused(docs, "__li_")
+    found = identify(docs, model, prefix=mark).where(F.col(f"{mark}lang_pred") != "und")
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,7 +1,10 @@
 """Operator 2: licence recognition by sentence rules, in built-in functions only.
 
-A text is cut into sentences, which are normalised (A-Z lower-cased, runs of
-other characters than letters and digits to one space). Normalised sentences
+A text is cut into sentences at punctuation and line ends, or, if more known
+sentences come out that way, at punctuation and blank lines (licence texts are
+often wrapped). They are normalised (A-Z lower-cased, runs of other characters
+than letters and digits to one space; without a letter they are dropped).
+Normalised sentences
 map to identifiers: known licence sentences by equality, notices of copyright
 by their first word, licence tags by their name; a sentence that is none of
 these but has a legal word is "?", and all others are "-". The sequence of a
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import table
+from tidewater.llm.common import table, unused
 
 # Normalised sentences of public licence texts and notices, with identifiers of our own.
 SENTENCES = {
@@ -40,6 +43,7 @@ SENTENCES = {
     "you may not use this file except in compliance with the license": "apachecomply",
     "you may obtain a copy of the license at": "apachecopy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apacheasis",
+    "http www apache org licenses license 2 0": "apacheurl",
     "see the license for the specific language governing permissions and limitations under the license": "apachesee",
     "this work is licensed under the gnu general public license version 2": "gpl2",
     "this work is licensed under the gnu general public license version 3": "gpl3",
@@ -72,6 +76,7 @@ RULES = [
     ("BSD-2-Clause", "bsdgrant bsdsource bsdbinary"),
     ("MIT", "mitgrant mitnotice mitasis mitliable"),
     ("MIT", "mitgrant mitnotice"),
+    ("Apache-2.0", "apache20 apachecomply apachecopy apacheurl apacheasis apachesee"),
     ("Apache-2.0", "apache20 apachecomply apachecopy apacheasis apachesee"),
     ("Apache-2.0", "apache20 apachecomply"),
     ("LGPL-2.1-or-later", "gplfree lgplterms later21"),
@@ -97,12 +102,17 @@ TAG = "spdx license identifier "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, empty ones left out."""
-    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    cut = F.regexp_replace(lower, r"([.!?;:])[ \t\r\n]+", "$1\n")
+#: Every text with a known sentence or a legal word has one of these; the others need no cutting.
+GATE = "licen[cs]|copyright|redistribut|warrant|permission|rights reserved|free software|public domain|mpl"
+
+
+def sentences(lower: Column, wrapped: bool) -> Column:
+    """Normalised sentences of a lower-cased text; lines end sentences unless `wrapped`."""
+    if wrapped:
+        lower = F.regexp_replace(F.regexp_replace(lower, r"\n[ \t\r]*\n", ". "), r"\n", " ")
+    cut = F.regexp_replace(lower, r"([.!?;])[ \t\r\n]+", "$1\n")
     plain = F.regexp_replace(cut, r"[^a-z0-9\n]+", " ")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: F.regexp_like(s, F.lit("[a-z]")))
 
 
 def identifier(sentence: Column) -> Column:
@@ -113,18 +123,22 @@ def identifier(sentence: Column) -> Column:
 
 def recognise(docs: DataFrame) -> DataFrame:
     """The rows of docs with identifiers, licences (both arrays) and n_unknown."""
-    ids = F.transform(sentences(F.col("text").cast("string")), identifier)
+    lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), UPPER, LOWER)
+    lines, wrapped = (F.transform(sentences(lower, w), identifier) for w in (False, True))
+    known = lambda ids: F.size(F.filter(ids, lambda x: ~x.isin("-", "?")))
+    none = F.expr("CAST(array() AS array<string>)")
+    ids = F.when(F.regexp_like(lower, F.lit(GATE)), F.when(known(wrapped) > known(lines), wrapped).otherwise(lines)).otherwise(none)
+    mark = unused(docs, "__licence")
+    ids_of, rest = f"{mark}_ids", f"{mark}_rest"
     # Of neighbouring sentences without an identifier one stands for all.
-    out = docs.withColumn("__ids", ids).withColumn("__rest", F.regexp_replace(F.concat(F.lit(" "), F.array_join("__ids", "  "), F.lit(" ")), "( -  )+", " -  "))
-    found = []
+    out = docs.withColumn(ids_of, ids).withColumn(rest, F.regexp_replace(F.concat(F.lit(" "), F.array_join(ids_of, "  "), F.lit(" ")), "( -  )+", " -  "))
     for n, (licence, rule) in enumerate(RULES):
-        mark = " " + rule.replace(" ", "  ") + " "
-        found.append(F.when(F.contains("__rest", F.lit(mark)), licence))
-        out = out.withColumn(f"__l{n}", found[-1]).withColumn("__rest", F.replace("__rest", F.lit(mark), F.lit(" + ")))
-    licences = F.array_distinct(F.array_compact(F.array(*[f"__l{n}" for n in range(len(RULES))])))
-    out = out.withColumn("identifiers", F.filter("__ids", lambda x: x != "-")).withColumn("licences", licences)
-    out = out.withColumn("n_unknown", F.size(F.filter("__ids", lambda x: x == "?")).cast("long"))
-    return out.drop("__ids", "__rest", *[f"__l{n}" for n in range(len(RULES))])
+        found = " " + rule.replace(" ", "  ") + " "
+        out = out.withColumn(f"{mark}{n}", F.when(F.contains(rest, F.lit(found)), licence)).withColumn(rest, F.replace(rest, F.lit(found), F.lit(" + ")))
+    licences = F.array_distinct(F.array_compact(F.array(*[f"{mark}{n}" for n in range(len(RULES))])))
+    out = out.withColumn("identifiers", F.filter(ids_of, lambda x: x != "-")).withColumn("licences", licences)
+    out = out.withColumn("n_unknown", F.size(F.filter(ids_of, lambda x: x == "?")).cast("long"))
+    return out.drop(*[c for c in out.columns if c.startswith(mark)])
 
 
 def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,15 +149,18 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     known = {**SENTENCES, **{TAG + k: v for k, v in TAGS.items()}}
     cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in known.items())
-    steps, rest = [], "r0"
+    ids = f"CASE x {cases} ELSE CASE WHEN starts_with(x, 'copyright ') THEN 'copyright' WHEN regexp_matches(x, '{LEGAL}') THEN '?' ELSE '-' END END"
+    cut = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace({}, '([.!?;])[ \t\r\n]+', '\1' || chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: regexp_matches(s, '[a-z]'))".format
+    wrapped = r"regexp_replace(regexp_replace(t, '\n[ \t\r]*\n', '. ', 'g'), '\n', ' ', 'g')"
+    steps, rest = [], "s0"
     for n, (licence, rule) in enumerate(RULES):
         mark = " " + rule.replace(" ", "  ") + " "
         steps.append(f"s{n + 1} AS (SELECT k, doc_id, ids, CASE WHEN contains(rest, '{mark}') THEN list_append(l, '{licence}') ELSE l END AS l, replace(rest, '{mark}', ' + ') AS rest FROM s{n})")
         rest = f"s{n + 1}"
     return f"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id,
-  list_filter(list_transform(string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '([.!?;:])[ \\t\\r\\n]+', '\\1\n', 'g'), '[^a-z0-9\\n]+', ' ', 'g'), '\n'), lambda s: trim(s)), lambda s: s <> '') AS s FROM documents),
-i AS (SELECT k, doc_id, list_transform(s, lambda x: CASE x {cases} ELSE CASE WHEN starts_with(x, 'copyright ') THEN 'copyright' WHEN regexp_matches(x, '{LEGAL}') THEN '?' ELSE '-' END END) AS ids FROM d),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+b AS (SELECT k, doc_id, list_transform({cut("t")}, lambda x: {ids}) AS a, list_transform({cut(wrapped)}, lambda x: {ids}) AS b FROM d),
+i AS (SELECT k, doc_id, CASE WHEN len(list_filter(b, lambda x: x NOT IN ('-', '?'))) > len(list_filter(a, lambda x: x NOT IN ('-', '?'))) THEN b ELSE a END AS ids FROM b),
 s0 AS (SELECT k, doc_id, ids, CAST([] AS VARCHAR[]) AS l, regexp_replace(' ' || array_to_string(ids, '  ') || ' ', '( -  )+', ' -  ', 'g') AS rest FROM i),
 {", ".join(steps)}
 SELECT doc_id, CAST(len(list_filter(ids, lambda x: x <> '-')) AS BIGINT) AS n_sentences, array_to_string(list_filter(ids, lambda x: x <> '-'), ',') AS identifiers,
@@ -151,4 +168,4 @@ SELECT doc_id, CAST(len(list_filter(ids, lambda x: x <> '-')) AS BIGINT) AS n_se
 """
 
 
-OP2_SQL = _sql().replace("'\\1\n'", "'\\1' || chr(10)").replace("'\n'", "chr(10)")
+OP2_SQL = _sql()

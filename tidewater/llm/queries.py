@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from tidewater.llm.ann import op5_nearest_neighbours
-from tidewater.llm.decontaminate import op9_benchmark_decontamination
+from tidewater.llm.decontaminate import OP9_SQL, op9_benchmark_decontamination
 from tidewater.llm.hmm import op4_hmm_language_model
 from tidewater.llm.langid import op8_language_id
 from tidewater.llm.licences import OP2_SQL, op2_licence_scan
 from tidewater.llm.line_dedup import op3_line_dedup
-from tidewater.llm.ngram_join import op7_ngram_jaccard_join
+from tidewater.llm.ngram_join import OP7_SQL, op7_ngram_jaccard_join
 from tidewater.llm.pieces import op10_sentencepiece
 from tidewater.llm.secrets import OP1_SQL, op1_secret_scan
 from tidewater.llm.wrappers import op6_html_extraction
@@ -29,4 +29,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op1_secret_scan": OP1_SQL,
     "op2_licence_scan": OP2_SQL,
+    "op7_ngram_jaccard_join": OP7_SQL,
+    "op9_benchmark_decontamination": OP9_SQL,
 }
