@@ -311,7 +311,9 @@ def page(i, body):
     return (i, f"http://Host.example.org/{i}", f"<!DOCTYPE html><html><head><title>t{i}</title><script>var a='</p>';</script></head><body><div id='top-menu'><a>Home</a></div>{body}<footer>&copy; us</footer></body></html>")
 
 
-def test_wrapper_and_text(spark):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_wrapper_and_text(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(wrappers, "WRAPPER_BLOCK", broadcast)
     bodies = [f"<div class='post'><h2>Head {i}</h2><p>First &amp; {i}<br>line<p>Second&nbsp;  {i}</p>" + (f"<ul><li>a{i}<li>b{i}</ul>" if i % 2 else "") + f"<div class='share'>Share</div><span>Read more</span><div class='comments'><p>nice {i}</p></div></div>" for i in range(6)]
     rows = [page(i, b) for i, b in enumerate(bodies)] + [(90, None, None), (91, "", ""), (92, "http://x.org/1", "<article><header><h1>A</h1></header><p>B <b>c</p><aside>no</aside>"), (93, "http://x.org/2", "plain"), (0, rows_url := "http://Host.example.org/0", page(0, bodies[0])[2])]
     assert rows_url

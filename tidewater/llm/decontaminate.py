@@ -155,9 +155,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     new = [("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"), ("longest", "bigint"), ("longest_at", "bigint"), ("__hit", "binary")]
     new = [(prefix + n, t) for n, t in new]
     wanted = list(docs.columns if keep is None else keep)
-    blocks = list(test_blocks(benchmark, window, block_words)) or [None]
-    for k, block in enumerate(blocks):
-        held = spark.sparkContext.broadcast(block)
+    blocks = test_blocks(benchmark, window, block_words)
+    block, k = next(blocks, None), 0
+    while True:
+        held, block = spark.sparkContext.broadcast(block), next(blocks, None)
 
         def mark(text, *old, held=held):
             found = [_mark(held.value, data, offsets, i, old) for i, j, data, offsets in K.pieces(text)]
@@ -165,7 +166,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
         text = F.col("text").cast("string")
         old = [F.col(c) for c, _ in new[2:]] if k else []
-        docs = with_columns(docs, [text, *old], new, mark, None if k + 1 < len(blocks) else wanted)
+        docs, k = with_columns(docs, [text, *old], new, mark, wanted if block is None else None), k + 1
+        if block is None:
+            break
     return docs.drop(f"{prefix}__hit")
 
 
