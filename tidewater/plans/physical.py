@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,7 +55,7 @@ def _flat_field(e, names, keys) -> Column | None:
 
 
 def conjuncts(e):
-    """A predicate's parts at its top: plain conjunction keeps the same rows as the strict one, and Catalyst can push it down."""
+    """A predicate's parts at its top: plain conjunction (and BETWEEN) keeps the same rows as the strict one, and Catalyst can push it down."""
     if isinstance(e, L.Apply) and e.name == "and":
         for a in e.args:
             yield from conjuncts(a)
@@ -65,6 +66,8 @@ def conjuncts(e):
 def condition(e, names: list[str]) -> Column:
     out = None
     for part in conjuncts(e):
+        if isinstance(part, L.Apply) and part.name == "between":
+            part = replace(part, overload=replace(part.overload, build=lambda c, t, r: c[0].between(c[1], c[2])))
         c = column(part, names).cast("boolean")
         out = c if out is None else out & c
     return out
