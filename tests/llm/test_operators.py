@@ -32,7 +32,7 @@ def documents(spark, rows, clash=False):
     return spark.createDataFrame(full, schema)
 
 
-LONG = " ".join(f"word{i % 977} tail{i}" for i in range(30000))
+LONG = " ".join(f"word{i % 977} tail{i}" for i in range(60000))
 AWKWARD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one"), (6, LONG), (6, LONG), (None, "null id one two three four"), (None, None), (7, "é🙂\x00 ünï code"), (8, LONG)]
 
 
@@ -330,6 +330,15 @@ def test_wrapper_and_text(spark, monkeypatch, broadcast):
     assert wrappers.main_text(pages.limit(0)).count() == 0
 
 
+def test_what_is_left_out():
+    body = "<header>h</header><nav>n</nav><div class='cookie-notice'>c</div><main><article><h1>T</h1><p>One</p><ins class=adsbygoogle>ad</ins><form><p>f</p></form><aside>s</aside><p style='display: none'>x</p><p>Two <script>1</script><b>bold</b></p><section id=comments><article class='comment'><p>nice</p></article></section></article><article class='comment'>c</article></main><div class='site-header'>h</div><footer>f</footer>"
+    html = f"<html><body>{body}</body></html>"
+    assert wrappers.extract(html, None, frozenset()) == "T\n\nOne\n\nTwo bold"
+    assert wrappers.extract(html, *wrappers.decide(wrappers.infer([html, html.replace("One", "Uno")]))) == "T\n\nOne\n\nTwo bold"
+    plain = "<div id='sidebar'>s</div><div class='body'><p>a</p><p>b</p></div>"
+    assert wrappers.extract(plain, *wrappers.decide(wrappers.infer([plain]))) == "a\n\nb"
+
+
 @given(st.text("<>/abp \"'=!-&;", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_read(text):
