@@ -203,5 +203,20 @@ def test_plans_push_filters_and_columns_down(spark, tmp_path):
     assert "EqualTo(a,1)" in plan and "EqualTo(b,x)" in plan
 
 
+def test_show_functions_is_sorted_and_complete(session):
+    got = rows(session, "SHOW FUNCTIONS")
+    assert got == sorted(got) and len(got) == 38 and {"->>", "avg", "to_jsonpath", "type_of"} <= set(got)
+
+
+def test_explain_of_other_plans(session):
+    session.sql("CREATE TABLE t (a INT, b TEXT)")
+    lines = ["|".join(r) for r in session.sql("EXPLAIN SELECT b, sum(a) FROM t GROUP BY b").collect()]
+    assert lines[0] == "GROUP|||" and " |group_keys:|||" in lines and " |  _col2|1|INTEGER|sum(<OFFSET 0>)" in lines
+    lines = ["|".join(r) for r in session.sql("EXPLAIN INSERT INTO t VALUES (1, 'x')").collect()]
+    assert lines == ["INSERT|||", " |source:|||", " |  VALUES|||"]
+    lines = ["|".join(r) for r in session.sql("EXPLAIN SELECT data FROM DIRECTORY '/nowhere'").collect()]
+    assert " |  FILE_SCAN|||" in lines and " |   |  data|0|JSON|" in lines
+
+
 def test_dates_are_dates(session):
     assert session.sql("SELECT DATE '2020-03-01' AS d").first()["d"] == datetime.date(2020, 3, 1)
