@@ -522,6 +522,7 @@ def test_pieces_match_the_reference_library(spark):
     told = pieces.digests(docs, keep=["doc_id"]).where("doc_id = 11").first()
     assert told["ids_sha256"] == hashlib.sha256(np.array(want[11], "<i4").tobytes()).hexdigest() and told["round_trip"]
     assert pieces.digests(documents(spark, [])).count() == 0
+    assert Counter(r["same"] for r in pieces.parity(docs).collect()) == Counter({True: len(texts) + 9, None: 2})
 
 
 def test_unigram_files_become_unigram_models():

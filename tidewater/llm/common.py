@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Slots in one block of a merged counter array or bitmap.
-BLOCK = 1 << 16
+BLOCK = 1 << 13
 
 
 #: Rows that Spark hands to a Python worker at once, where the session has Spark's own default of 10,000: texts are large.

@@ -158,5 +158,23 @@ def digests(docs: DataFrame, model_path: str = P.DEFAULT_MODEL, threads: int = 2
     return with_columns(docs, [F.col("text").cast("string")], new, run, keep)
 
 
+def parity(docs: DataFrame, model_path: str = P.DEFAULT_MODEL, keep: list[str] | None = None) -> DataFrame:
+    """The rows of docs with `same`: whether the sentencepiece library gives the same ids and the same decoded text; null for a null text."""
+    model = docs.sparkSession.sparkContext.broadcast(P.load(model_path))
+
+    def run(text):
+        import sentencepiece
+
+        c, other = codec(model.value), sentencepiece.SentencePieceProcessor(model_proto=model.value)
+        out = []
+        for texts in _batches(text):
+            plain = [t or "" for t in texts]
+            ours, theirs = c.encode(plain), other.encode(plain)
+            out += [None if t is None else a == b and c.decode(a) == other.decode(b) for t, a, b in zip(texts, ours, theirs, strict=True)]
+        return [pa.array(out, pa.bool_())]
+
+    return with_columns(docs, [F.col("text").cast("string")], [("same", "boolean")], run, keep)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
