@@ -227,7 +227,9 @@ def test_line_buckets_beyond_one_block(spark):
 # 4: language model
 
 
-def test_hmm(spark, corpus):
+@pytest.mark.parametrize("head", [1 << 17, 40, 0])
+def test_hmm(spark, corpus, monkeypatch, head):
+    monkeypatch.setattr(hmm, "HEAD", head)
     rows = list(corpus) + AWKWARD
     got = hmm.score(documents(spark, rows, clash=True)).collect()
     assert len(got) == len(rows)
