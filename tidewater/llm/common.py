@@ -165,14 +165,13 @@ def bitmap(keys: DataFrame):
     return spark.sparkContext.broadcast(bits)
 
 
-def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (v, label), label the smallest vertex reachable; a vertex that is its own label is absent.
 
     Alternates large-star and small-star steps; every step is a groupBy with map-side
     combine and a join that adaptive execution can split, and no vertex's
     neighbours meet in one row.
     """
-    spark = edges.sparkSession
     e = cut(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
     before = None
     while True:
