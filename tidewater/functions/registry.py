@@ -51,14 +51,6 @@ def resolve(name: str, args: list[SqlType]) -> Overload:
     return best
 
 
-def converted(column: Column, have: SqlType, want: str) -> tuple[Column, SqlType]:
-    """An argument as the kind that an overload asks for."""
-    if want == "any" or have.kind == want:
-        return column, have
-    to = {"decimal": T.decimal({"int": 10, "bigint": 20}.get(have.kind, 1), 0)}.get(want, SqlType(want))
-    return column.cast(T.spark_type(to)), to
-
-
 # Boolean logic: NULL if any side is NULL.
 
 
