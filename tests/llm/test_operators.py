@@ -224,6 +224,45 @@ def test_line_buckets_beyond_one_block(spark):
     assert got == {(i, 0): (top(i), 0) for i in ids if top(i) != i}
 
 
+def test_line_distance_grows_with_length(spark):
+    """Against brute force: what may differ grows with the shorter line, and pairs on both sides of each bound are told apart."""
+    rng = random.Random(12)
+    lines = []
+    for n in (24, 40, 58, 59, 60, 61, 79, 80, 125, 198, 240, 420):
+        for _ in range(3):
+            base = [rng.choice("abcdefghijklmnop qrstuvwxyz") for _ in range(n)]
+            lines.append("".join(base))
+            may = int(line_dedup.allowed(np.int64(n)))
+            for edits in (may - 1, may, may + 1, may + 2):
+                y = list(base)
+                for _ in range(edits):
+                    op, at = rng.randrange(3), rng.randrange(len(y))
+                    y[at : at + (op != 0)] = [] if op == 2 else [rng.choice("AÄZ🙂")]
+                lines.append("".join(y))
+    word = "one line of words with a single word that is later put in place of another one and that is all there is to say about this line of words"
+    lines += [word, word.replace("single", "quite different")]
+    rng.shuffle(lines)
+    _, removed = line_dedup.line_classes(documents(spark, list(enumerate(lines))))
+    got = {r["doc_id"]: r["keep_doc"] for r in removed.collect()}
+    up = list(range(len(lines)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    linked = 0
+    for i, a in enumerate(lines):
+        for j in range(i):
+            shorter = min(len(a), len(lines[j]))
+            may = shorter // 20 if shorter >= 60 else 2
+            if shorter >= 24 and abs(len(a) - len(lines[j])) <= may and distance(a, lines[j]) <= may:
+                up[max(top(i), top(j))] = min(top(i), top(j))
+                linked += distance(a, lines[j]) > 2
+    assert linked > 20
+    assert got == {i: top(i) for i in range(len(lines)) if top(i) != i}
+
+
 # 4: language model
 
 
