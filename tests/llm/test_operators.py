@@ -263,6 +263,15 @@ def test_line_distance_grows_with_length(spark):
     assert got == {i: top(i) for i in range(len(lines)) if top(i) != i}
 
 
+def test_equal_short_lines_are_one_class(spark):
+    long = "a line that has more than twenty-four characters"
+    rows = [(1, f"Of, edti oner.\n\n{long}\nx"), (2, "Of, edti oner.\n\nOf, edti onerX\nOf, edti oner."), (3, f"x\n{long}!\n🙂"), (4, "🙂"), (5, ""), (6, None)]
+    counted, removed = line_dedup.line_classes(documents(spark, rows))
+    got = {(r["doc_id"], r["pos"]): (r["keep_doc"], r["keep_pos"]) for r in removed.collect()}
+    assert got == {(2, 0): (1, 0), (2, 3): (1, 0), (3, 0): (1, 3), (3, 1): (1, 2), (4, 0): (3, 2)}
+    assert {r["doc_id"]: r["n_lines"] for r in counted.collect()} == {1: 4, 2: 4, 3: 3, 4: 1, 5: 1, 6: 0}
+
+
 # 4: language model
 
 
