@@ -389,6 +389,21 @@ def test_what_is_left_out():
     assert wrappers.extract(plain, *wrappers.decide(wrappers.infer([plain]))) == "a\n\nb"
 
 
+def test_copies_have_no_template(spark):
+    """Copies of one article, whole or but for their title, lose nothing; a text that different articles share goes."""
+    copy = "<html><body><article><h1>One head</h1><p>First of it.</p><p>Second of it.</p></article></body></html>"
+    lone = "<html><head><title>t{i}</title></head><body><h2>Other {i}</h2><article><p>The lone paragraph.</p></article></body></html>"
+    dated = "<html><body><article><h1>A head of copies</h1><span>Day {i}</span><p>The same long paragraph of all copies.</p></article></body></html>"
+    other = "<html><body><article><h1>Head {i}</h1><p>Some words of article {i}.</p><span>Read more</span></article></body></html>"
+    rows = [(100 * k + i, f"http://h{k}.org/{i}", x.replace("{i}", str(i))) for k, x in enumerate((copy, lone, dated, other)) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    for i in range(6):
+        assert got[i] == "One head\n\nFirst of it.\n\nSecond of it."
+        assert got[100 + i] == "The lone paragraph."
+        assert got[200 + i] == f"A head of copies\n\nDay {i}\n\nThe same long paragraph of all copies."
+        assert got[300 + i] == f"Head {i}\n\nSome words of article {i}."
+
+
 @given(st.text("<>/abp \"'=!-&;", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_read(text):
