@@ -320,6 +320,21 @@ def test_hmm_is_a_distribution():
     assert ((1 + 1) / (model.kinds_n + model.kinds_v + 1) * model.kinds_v <= 1).all()
 
 
+def test_hmm_trains_on_all_texts(spark):
+    """The model does not depend on the order of rows, and equals Baum-Welch in one piece on every text."""
+    rng = random.Random(6)
+    rows = [(i, text_of(rng, [f"{'ab'[i % 2]}{k}" for k in range(30)], 300)) for i in range(40)]
+    models = [hmm.fit(documents(spark, r).select("doc_id", "text").coalesce(1))[0] for r in (rows, rows[::2] + rows[1::2])]
+    assert np.allclose(models[0].emit, models[1].emit, rtol=1e-3) and np.allclose(models[0].step, models[1].step, rtol=1e-3)
+    passes, seen = hmm._pass, []
+    try:
+        hmm._pass = lambda train, model: seen.append(train.count()) or passes(train, model)
+        hmm.fit(documents(spark, rows).select("doc_id", "text"))
+    finally:
+        hmm._pass = passes
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows)] * 9
+
+
 # 5: neighbours
 
 

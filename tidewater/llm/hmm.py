@@ -8,10 +8,10 @@ symbols by its last two bytes, and has the add-one probability
 a state's emissions are one distribution over a fixed number of symbols and
 the model one over all texts.
 
-Training: parameters start from Baum-Welch on a sample (SAMPLE_DOCS training
-texts in expectation, at most SAMPLE_SEGMENTS segments), then PASSES full
-Baum-Welch iterations run over all training texts; each task sums expected
-counts of its own texts and the sums are merged across partitions. Training
+Training: parameters start at random, each state nearer to the beginning of one
+of a few texts; then PASSES Baum-Welch iterations run, each over all training
+texts: a task sums expected counts of its own texts and the sums are merged
+across partitions. Training
 cuts texts into segments of SEGMENT tokens; a segment that continues a text
 starts in the stationary distribution. Scoring never cuts: the scaled forward
 recursion runs over each whole text, many texts in step.
@@ -35,7 +35,7 @@ from tidewater.llm import kernels as K
 from tidewater.llm.common import BLOCK, arrow_map, blocks_of, merge_blocks, saved, table, unpack
 
 STATES, MODEL_WORDS, TAIL_CLASSES, HEAD = 8, 8192, 256, 1 << 17
-SAMPLE_DOCS, SAMPLE_SEGMENTS, WARM, PASSES, SEGMENT = 1500, 4000, 8, 1, 128
+PASSES, SEGMENT = 9, 128
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x51ED270B7F4A7C15)
 #: Tokens whose texts are scored in step.
@@ -180,20 +180,16 @@ def maximise(first, moves, counts, unigram):
     return (start / start.sum()).astype(np.float32), (step / step.sum(1, keepdims=True)).astype(np.float32), (emit / emit.sum(0)).astype(np.float32)
 
 
-def warm_start(model: Model, unigram: np.ndarray, seg: np.ndarray, begins: np.ndarray):
+def first_guess(unigram: np.ndarray, seeds: list[np.ndarray]):
+    """Parameters to start from; `seeds` are the symbols of the texts that states start near to, STATES at most."""
     rng = np.random.Generator(np.random.PCG64(11))
-    # A state for each of a few groups of texts that share words: seeds drawn from segments' own symbols.
     emit = np.repeat(unigram[:, None], STATES, 1) * rng.uniform(0.5, 1.5, (len(unigram), STATES))
-    for s, r in enumerate(rng.permutation(len(seg))[:STATES]):
-        emit[:, s] += np.bincount(seg[r][seg[r] >= 0], minlength=len(unigram)) / max(1, (seg[r] >= 0).sum())
+    for s, symbol in enumerate(seeds):
+        emit[:, s] += np.bincount(symbol, minlength=len(unigram)) / len(symbol)
     emit /= emit.sum(0)
     step = np.full((STATES, STATES), 0.05 / (STATES - 1))
     np.fill_diagonal(step, 0.95)
-    start, step, emit = np.full(STATES, 1 / STATES, np.float32), step.astype(np.float32), emit.astype(np.float32)
-    for _ in range(WARM if len(seg) else 0):
-        _, first, moves, counts = expected(start, step, emit, seg, begins)
-        start, step, emit = maximise(first, moves, counts, unigram)
-    return start, step, emit
+    return np.full(STATES, 1 / STATES, np.float32), step.astype(np.float32), emit.astype(np.float32)
 
 
 _models: list[tuple] = []
@@ -232,21 +228,15 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     unigram[: model.own] = model.head_n[: model.own]
     unigram[MODEL_WORDS:] = kinds_n
     unigram = (unigram + 1e-3) / (unigram + 1e-3).sum()
-    share = min(1.0, SAMPLE_DOCS / max(1, train.count()))
-    drawn = train.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    seg, begins, have = [], [], 0
+    # Where states start: the beginnings of the first texts by a hash of their content. Nothing is fitted here.
+    head = F.substring("text", 1, 8 * SEGMENT).alias("head")
+    drawn = train.select(head).where("head IS NOT NULL").distinct().orderBy(F.xxhash64("head"), "head").limit(STATES).collect()
     model.open()
-    for (text,) in drawn.select(F.col("text")).toLocalIterator():
-        data, offsets = K.utf8(pa.array([text], pa.string()))
-        row, h, kind = tokens_of(data, offsets)
-        s, b = segments(model, row, model.symbols_of(h, kind)[0])
-        seg.append(s)
-        begins.append(b)
-        have += len(s)
-        if have >= SAMPLE_SEGMENTS:
-            break
-    seg, begins = (np.concatenate(seg)[:SAMPLE_SEGMENTS], np.concatenate(begins)[:SAMPLE_SEGMENTS]) if seg else (np.zeros((0, SEGMENT), np.int32), np.zeros(0, bool))
-    model.start, model.step, model.emit = warm_start(model, unigram, seg, begins)
+    seeds = []
+    for (text,) in drawn:
+        _, h, kind = tokens_of(*K.utf8(pa.array([text], pa.string())))
+        seeds.append(model.symbols_of(h, kind)[0][:SEGMENT])
+    model.start, model.step, model.emit = first_guess(unigram, seeds)
     del model.index, model.exact
     for _ in range(PASSES):
         first, moves, emitted = _pass(train, model)
