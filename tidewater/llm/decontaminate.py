@@ -210,15 +210,15 @@ def _mark(tests, data, offsets, at, old):
 SHARE = 20
 
 
-def is_contaminated(prefix: str = "") -> F.Column:
-    n_hit, n_words = F.col(f"{prefix}n_hit"), F.col(f"{prefix}n_words")
+def is_contaminated() -> F.Column:
+    n_hit, n_words = F.col("n_hit"), F.col("n_words")
     return (n_hit > 0) & (n_hit * SHARE >= n_words)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns as they are, that are not contaminated."""
+    """The rows of docs, all columns as they are, in which no window of a benchmark item occurs."""
     mark = unused(docs, "__ct_")
-    found = contamination(docs, benchmark, prefix=mark).where(~is_contaminated(mark))
+    found = contamination(docs, benchmark, prefix=mark).where(F.col(f"{mark}n_hit") == 0)
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
