@@ -147,27 +147,58 @@ def test_banded_distance(a, b, k):
     assert line_dedup.within("x" * 130 + a + "y" * 70, "x" * 130 + b + "y" * 70, k) == (distance("x" * 130 + a + "y" * 70, "x" * 130 + b + "y" * 70) <= k)
 
 
-def brute_lines(rows, tau, min_chars):
-    places = {}
-    for i, t in rows:
+def may_differ(shorter):
+    return shorter // 20 if shorter >= 60 else 2
+
+
+def brute_lines(rows, shortest=1):
+    """{(row, pos): (keep_doc, keep_pos)} of the removed lines of rows (row, doc_id, text), a row being a hash of both others."""
+    places, doc_of = {}, {r: i for r, i, _ in rows}
+    for r, i, t in rows:
         for pos, line in enumerate([] if t is None else t.split("\n")):
-            if len(line) >= min_chars:
-                places.setdefault(line, []).append(((1 << 63) - 1 if i is None else i, pos))
-    lines, up = list(places), {x: x for x in places}
+            if len(line) >= shortest:
+                places.setdefault(line, set()).add((i is None, i or 0, r, pos))
+    lines, up = sorted(places, key=len), {x: x for x in places}
+    counts = [Counter(x) for x in lines]
 
     def top(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for i, a in enumerate(lines):
-        for b in lines[:i]:
-            if abs(len(a) - len(b)) <= tau and sum((Counter(a) - Counter(b)).values()) <= tau and distance(a, b) <= tau:
+    for n, a in enumerate(lines):
+        m = n - 1
+        while m >= 0 and len(lines[m]) >= 24 and len(a) - len(lines[m]) <= max(2, len(a) // 20):
+            b, may = lines[m], may_differ(len(lines[m]))
+            if len(a) - len(b) <= may and sum((counts[n] - counts[m]).values()) <= may and distance(a, b) <= may:
                 up[top(a)] = top(b)
+            m -= 1
     classes = {}
     for x in lines:
         classes.setdefault(top(x), set()).update(places[x])
-    return {p: min(v) for v in classes.values() for p in v if p != min(v)}
+    first = {x: min(v) for x, v in classes.items()}
+    return {p[2:]: (doc_of[first[x][2]], first[x][3]) for x, v in classes.items() for p in v if p != first[x]}
+
+
+def row_ids(docs):
+    return [tuple(r) for r in docs.select(line_dedup.row_id("doc_id", "text"), "doc_id", "text").collect()]
+
+
+def without(rows, gone):
+    """The texts of rows that removing lines leaves; (doc_id, text) of each row that stays."""
+    lost = {}
+    for r, pos in gone:
+        lost.setdefault(r, set()).add(pos)
+    out = Counter()
+    for r, i, t in rows:
+        left = t if r not in lost else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in lost[r])
+        if r not in lost or left.strip("\n"):
+            out[(i, left)] += 1
+    return out
+
+
+def removed_lines(gone):
+    return {(r["rid"], g["pos"]): (g["keep_doc"], g["keep_pos"]) for r in gone.collect() for g in r["gone"]}
 
 
 def test_line_dedup(spark, corpus):
@@ -181,24 +212,20 @@ def test_line_dedup(spark, corpus):
                 op, at = rng.randrange(3), rng.randrange(len(y))
                 y[at : at + (op != 0)] = [] if op == 2 else [rng.choice("aäz🙂")]
             rows.append((1000 + 10 * n + m, "".join(y) + "\nshort\n"))
+    top = (1 << 63) - 1
+    rows += [(5, f"{lines[0]}\nonly this row of document 5 has this line of text"), (None, f"{lines[1]}\nonly one null row has this line of text"), (None, f"{lines[1]}\nthe other null row has this"), (top, f"{lines[2]}\nthe largest of ids")]
     docs = documents(spark, rows, clash=True)
-    counted, removed = line_dedup.line_classes(docs, 2, 24)
-    last = (1 << 63) - 1
-    got = {(last if r["doc_id"] is None else r["doc_id"], r["pos"]): (last if r["keep_doc"] is None else r["keep_doc"], r["keep_pos"]) for r in removed.collect()}
-    assert got == brute_lines([r[:2] for r in rows], 2, 24)
+    named = row_ids(docs)
+    for equal_short in (True, False):
+        counted, gone = line_dedup.line_classes(docs, equal_short)
+        assert removed_lines(gone) == brute_lines(named, 1 if equal_short else 24)
     assert Counter((r["doc_id"], r["n_lines"]) for r in counted.collect()) == Counter((r[0], 0 if r[1] is None else len(r[1].split("\n"))) for r in rows)
-    kept = line_dedup.dedup_lines(docs)
+    kept = line_dedup.dedup_lines(docs, False)
     assert kept.columns == docs.columns
     texts = Counter((r["doc_id"], r["text"]) for r in kept.collect())
-    gone = {}
-    for d, pos in got:
-        gone.setdefault(None if d == last else d, set()).add(pos)
-    want = Counter()
-    for i, t, *_ in rows:
-        left = None if t is None else [x for p, x in enumerate(t.split("\n")) if p not in gone.get(i, ())]
-        if i not in gone or t is None or any(left):
-            want[(i, None if t is None else "\n".join(left))] += 1
-    assert texts == want
+    assert texts == without(named, brute_lines(named, 24))
+    for i, line in ((5, "only this row of document 5 has this line of text"), (None, "only one null row has this line of text"), (None, "the other null row has this"), (top, "the largest of ids")):
+        assert any(d == i and t and t.endswith(line) for d, t in texts)
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
@@ -207,8 +234,8 @@ def test_line_buckets_beyond_one_block(spark):
     rng = random.Random(9)
     base = "".join(rng.choice("abcdefgh") for _ in range(40))
     rows = [(i, base + f"{i:06d}" + base[::-1]) for i in range(0, 3000, 7)]
-    _, removed = line_dedup.line_classes(documents(spark, rows), 2, 24)
-    got = {(r["doc_id"], r["pos"]): (r["keep_doc"], r["keep_pos"]) for r in removed.collect()}
+    docs = documents(spark, rows)
+    got = removed_lines(line_dedup.line_classes(docs)[1])
     up = {i: i for i, _ in rows}
 
     def top(x):
@@ -219,9 +246,9 @@ def test_line_buckets_beyond_one_block(spark):
     ids = [i for i, _ in rows]
     for k, i in enumerate(ids):
         for j in ids[:k]:
-            if distance(f"{i:06d}", f"{j:06d}") <= 2:
+            if distance(f"{i:06d}", f"{j:06d}") <= may_differ(86):
                 up[max(top(i), top(j))] = min(top(i), top(j))
-    assert got == {(i, 0): (top(i), 0) for i in ids if top(i) != i}
+    assert got == {(r, 0): (top(i), 0) for r, i, _ in row_ids(docs) if top(i) != i}
 
 
 def test_line_distance_grows_with_length(spark):
@@ -242,8 +269,9 @@ def test_line_distance_grows_with_length(spark):
     word = "one line of words with a single word that is later put in place of another one and that is all there is to say about this line of words"
     lines += [word, word.replace("single", "quite different")]
     rng.shuffle(lines)
-    _, removed = line_dedup.line_classes(documents(spark, list(enumerate(lines))))
-    got = {r["doc_id"]: r["keep_doc"] for r in removed.collect()}
+    docs = documents(spark, list(enumerate(lines)))
+    doc = {r: i for r, i, _ in row_ids(docs)}
+    got = {doc[r]: k[0] for (r, _), k in removed_lines(line_dedup.line_classes(docs)[1]).items()}
     up = list(range(len(lines)))
 
     def top(x):
@@ -255,7 +283,7 @@ def test_line_distance_grows_with_length(spark):
     for i, a in enumerate(lines):
         for j in range(i):
             shorter = min(len(a), len(lines[j]))
-            may = shorter // 20 if shorter >= 60 else 2
+            may = may_differ(shorter)
             if shorter >= 24 and abs(len(a) - len(lines[j])) <= may and distance(a, lines[j]) <= may:
                 up[max(top(i), top(j))] = min(top(i), top(j))
                 linked += distance(a, lines[j]) > 2
@@ -266,8 +294,10 @@ def test_line_distance_grows_with_length(spark):
 def test_equal_short_lines_are_one_class(spark):
     long = "a line that has more than twenty-four characters"
     rows = [(1, f"Of, edti oner.\n\n{long}\nx"), (2, "Of, edti oner.\n\nOf, edti onerX\nOf, edti oner."), (3, f"x\n{long}!\n🙂"), (4, "🙂"), (5, ""), (6, None)]
-    counted, removed = line_dedup.line_classes(documents(spark, rows))
-    got = {(r["doc_id"], r["pos"]): (r["keep_doc"], r["keep_pos"]) for r in removed.collect()}
+    docs = documents(spark, rows)
+    doc = {r: i for r, i, _ in row_ids(docs)}
+    counted, gone = line_dedup.line_classes(docs)
+    got = {(doc[r], pos): k for (r, pos), k in removed_lines(gone).items()}
     assert got == {(2, 0): (1, 0), (2, 3): (1, 0), (3, 0): (1, 3), (3, 1): (1, 2), (4, 0): (3, 2)}
     assert {r["doc_id"]: r["n_lines"] for r in counted.collect()} == {1: 4, 2: 4, 3: 3, 4: 1, 5: 1, 6: 0}
 
@@ -567,7 +597,7 @@ def test_decontamination(spark, corpus, block_words):
     assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == Counter((i, *(x if n < 2 else tuple(x) for n, x in enumerate(brute_hits(t, items, 13)))) for i, t, *_ in rows)
     kept = decontaminate.clean(docs, benchmark)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, t, *_ in rows if not (0 < (h := brute_hits(t, items, 13))[1] and 20 * h[1] >= h[0]))
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, t, *_ in rows if not brute_hits(t, items, 13)[1])
     assert decontaminate.contamination(docs, benchmark.limit(0), keep=["doc_id"]).where("n_hit > 0").count() == 0
     assert decontaminate.clean(documents(spark, []), benchmark).count() == 0
 

@@ -1,11 +1,12 @@
 """The pipeline's stages, each on what the one before kept."""
 
 import os
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_operators import AWKWARD, CLASHING, brute_components, brute_hits, brute_lines, documents, language_rows, shingle_sets
+from tests.llm.test_operators import AWKWARD, CLASHING, brute_components, brute_hits, brute_lines, documents, language_rows, row_ids, shingle_sets, without
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +17,7 @@ def test_stages_against_brute_force(spark):
     names = docs.columns
     items = [tuple(r) for r in corpus_pipeline.table(spark, SF, "benchmark").select("item_id", "text").collect()]
     for name, stage in corpus_pipeline.STAGES:
-        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        before, named = {r["doc_id"]: r["text"] for r in docs.collect()}, row_ids(docs)
         out = corpus_pipeline.saved(stage(spark, docs, SF))
         if name == "sentencepiece":
             assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in out.collect())
@@ -27,17 +28,13 @@ def test_stages_against_brute_force(spark):
         if name == "language_id":
             assert after == {i: t for i, t in before.items() if any(c.isalpha() for c in t)}
         elif name == "line_dedup":
-            gone = {}
-            for d, p in brute_lines(list(before.items()), 2, 24):
-                gone.setdefault(d, set()).add(p)
-            left = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get(i, ())) for i, t in before.items()}
-            assert after == {i: t for i, t in left.items() if i not in gone or t.strip("\n")}
+            assert Counter(after.items()) == without(named, brute_lines(named, 24))
         elif name == "ngram_join":
             top = brute_components(shingle_sets(list(before.items()), 5), 80)
             assert set(after) == {i for i in before if top[i] == i}
         else:
             hits = {i: brute_hits(t, items, 13) for i, t in before.items()}
-            assert set(after) == {i for i, (n, h, _) in hits.items() if not (h and 20 * h >= n)}
+            assert set(after) == {i for i, (_, h, _) in hits.items() if not h}
         docs = out
 
 

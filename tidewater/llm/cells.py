@@ -120,3 +120,31 @@ def pairs_mask(side: np.ndarray | None, n: int) -> np.ndarray:
     """Which pairs a cell has to look at, as an upper triangle."""
     mask = np.triu(np.ones((n, n), bool), 1)
     return mask if side is None else mask & np.not_equal.outer(side, side)
+
+
+def common(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of all pairwise intersections in one cell, over tokens that more than one member has, a slab of tokens at a time."""
+    out = np.zeros((n, n), np.int64)
+    by = np.argsort(tokens, kind="stable")
+    owner, tokens = owner[by], tokens[by]
+    new = np.ones(len(tokens), bool)
+    new[1:] = tokens[1:] != tokens[:-1]
+    code = np.cumsum(new) - 1
+    keep = np.bincount(code, minlength=1)[code] > 1
+    owner, code = owner[keep], code[keep]
+    if not len(code):
+        return out
+    code = np.cumsum(np.concatenate([[0], code[1:] != code[:-1]]))
+    slab = max(1, (1 << 22) // n)
+    for lo in range(0, int(code[-1]) + 1, slab):
+        a, b = np.searchsorted(code, (lo, lo + slab))
+        m = np.zeros((n, min(slab, int(code[-1]) + 1 - lo)), np.float32)
+        m[owner[a:b], code[a:b] - lo] = 1
+        out += np.rint(m @ m.T).astype(np.int64)
+    return out
+
+
+def first_shared(key: int, keys: pa.ListArray) -> np.ndarray:
+    """Which pairs of a cell share no smaller key than the cell's, so that a pair is looked at in one bucket only; keys has those of each member."""
+    mine, owner = keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+    return common(owner[mine < key], mine[mine < key], len(keys)) == 0

@@ -95,41 +95,91 @@ def blocks_of(values: np.ndarray):
             yield k // BLOCK, pack(part)
 
 
-def merge_blocks(parts: DataFrame, dtype: str, how: str) -> DataFrame:
-    """Combine rows (block int, data binary) by block, with "add" or "or". One task holds some blocks, each of fixed size."""
-    add = how == "add"
+def merge_blocks(parts: DataFrame, dtype: str, how: str, blocks: int = 1024) -> DataFrame:
+    """Combine rows (block int, data binary) by block, with "add", "or" or "count" (bits seen once, then bits seen twice). One task holds a part of the blocks, each of fixed size."""
+
+    def count(held, part):
+        n = len(part) // 2
+        return np.concatenate([held[:n] | part[:n], held[n:] | part[n:] | (held[:n] & part[:n])])
 
     def merge(frames):
         held: dict[int, np.ndarray] = {}
+        combine = {"add": np.add, "or": np.bitwise_or, "count": count}[how]
         for pdf in frames:
             for block, data in zip(pdf["block"], pdf["data"], strict=True):
                 part = unpack(data, dtype)
-                if block not in held:
-                    held[block] = part.copy()
-                elif add:
-                    held[block] += part
-                else:
-                    held[block] |= part
+                held[block] = combine(held[block], part) if block in held else part
         yield pd.DataFrame({"block": list(held), "data": [pack(x) for x in held.values()]})
 
-    n = min(64, partitions(parts.sparkSession))
+    n = min(16, partitions(parts.sparkSession), -(-blocks // 64))
     return parts.repartition(n, "block").mapInPandas(merge, "block int, data binary")
 
 
+#: Bits for each key of a bitmap and the limits of its size (128 KB to 64 MB), and its hash functions.
+KEY_BITS, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 29
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def slots(keys: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
+    """Bit numbers of 64-bit keys in a bitmap of `size` bits, a power of two."""
+    return (keys * odd) >> np.uint64(64 - (size.bit_length() - 1))
+
+
 class Bitmap:
-    """A fixed-size set of 64-bit keys with false positives only; later joins are exact."""
+    """A Bloom filter of 64-bit keys: a fixed size, false positives only; later joins are exact."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits
-        self.mask = np.uint64(len(bits) * 8 - 1)
+        self.bits, self.size = bits, len(bits) * 8
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of the keys that may be in the set."""
+        at = np.arange(len(keys))
+        for odd in ODD:
+            s = slots(keys[at], self.size, odd)
+            at = at[(self.bits[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
+        return at
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys ^ (keys >> np.uint64(31))) & self.mask
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        out = np.zeros(len(keys), bool)
+        out[self.find(keys)] = True
+        return out
+
+
+def _set(bits: np.ndarray, s: np.ndarray) -> None:
+    np.bitwise_or.at(bits, s >> np.uint64(3), np.uint8(1) << (s & np.uint64(7)).astype(np.uint8))
+
+
+def bit_size(n: int, limit: int = MAX_BITS) -> int:
+    return min(limit, max(MIN_BITS, 1 << int(max(1, KEY_BITS * n) - 1).bit_length()))
 
 
-#: Bitmap sizes in bits: 16 for each key, within these limits (128 KB to 64 MB).
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 29
+def marked(df: DataFrame, keys_of, size: int, twice: bool = False):
+    """Bits of a Bitmap of the uint64 keys that keys_of yields from the Arrow batches of a partition of df; with `twice`, of those yielded more than once (or taken for one).
+
+    A task sends non-empty blocks of its bits only, and the driver takes one
+    partition of merged blocks at a time; all sizes are bounded by `size`.
+    """
+    import pyarrow as pa
+
+    def mark(batches):
+        bits, again = np.zeros(size // 8, np.uint8), np.zeros(size // 8 if twice else 0, np.uint8)
+        for keys in keys_of(batches):
+            for odd in ODD:
+                s = slots(keys, size, odd)
+                if twice:
+                    s, n = np.unique(s, return_counts=True)
+                    _set(again, s[(n > 1) | ((bits[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1)])
+                _set(bits, s)
+        for k in range(0, len(bits), BLOCK):
+            if bits[k : k + BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([pack(np.concatenate([bits[k : k + BLOCK], again[k : k + BLOCK]]))], pa.binary())], ["block", "data"])
+
+    out = np.zeros(size // 8, np.uint8)
+    for row in merge_blocks(df.transform(arrow_map, mark, "block int, data binary"), "uint8", "count" if twice else "or", size // 8 // BLOCK).toLocalIterator():
+        part = unpack(row["data"], "uint8")
+        part = part[len(part) // 2 :] if twice else part
+        out[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
+    return out
 
 
 def joined_key(k: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -138,31 +188,15 @@ def joined_key(k: np.ndarray, other: np.ndarray) -> np.ndarray:
     return k ^ (k >> np.uint64(32))
 
 
-def bitmap(keys: DataFrame):
-    """Broadcast Bitmap of the one long column of `keys`, or of the joined_key of two. Its size is bounded by MAX_BITS; beyond that it only lets more rows pass."""
-    spark = keys.sparkSession
-    lean(spark)
-    n = keys.count()
-    size = min(MAX_BITS, max(MIN_BITS, 1 << int(max(1, 16 * n) - 1).bit_length()))
+def bitmap(keys: DataFrame, limit: int = MAX_BITS):
+    """Broadcast bits of a Bitmap of the one long column of `keys`, or of the joined_key of two. Beyond `limit` it only lets more rows pass."""
 
-    def mark(frames):
-        bits, any_rows = np.zeros(size // 8, np.uint8), False
-        for pdf in frames:
-            any_rows = any_rows or len(pdf) > 0
-            k = pdf.iloc[:, 0].to_numpy(np.int64).view(np.uint64)
-            if pdf.shape[1] > 1:
-                k = joined_key(k, pdf.iloc[:, 1].to_numpy(np.int64))
-            at = (k ^ (k >> np.uint64(31))) & np.uint64(size - 1)
-            np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        rows = list(blocks_of(bits)) if any_rows else []
-        yield pd.DataFrame({"block": [b for b, _ in rows], "data": [d for _, d in rows]})
-
-    merged = merge_blocks(keys.mapInPandas(mark, "block int, data binary"), "uint8", "or").collect()
-    bits = np.zeros(size // 8, np.uint8)
-    for row in merged:
-        part = unpack(row["data"], "uint8")
-        bits[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
-    return spark.sparkContext.broadcast(bits)
+    def keys_of(batches):
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            yield joined_key(*columns) if len(columns) > 1 else columns[0].view(np.uint64)
+
+    return keys.sparkSession.sparkContext.broadcast(marked(keys, keys_of, bit_size(keys.count(), limit)))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
-from tidewater.llm.cells import Forest, cells_of, in_cells, once, pairs_mask, spread
+from tidewater.llm.cells import Forest, cells_of, common, first_shared, in_cells, once, pairs_mask, spread
 from tidewater.llm.common import BLOCK, Bitmap, arrow_map, bitmap, blocks_of, components, cut, joined_key, merge_blocks, saved, table, unpack, unused
 
 #: Slots of the count sketch (4 bytes each while counting, 1 byte when broadcast).
@@ -70,7 +70,7 @@ def _may_match(fronts: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndar
     """
     size = np.array([len(x) for x in fronts])
     owner, every = np.repeat(np.arange(len(fronts)), size), np.concatenate(fronts)
-    shared = _common(owner, every, len(fronts))
+    shared = common(owner, every, len(fronts))
     whole = size == n
     last = np.array([np.inf if w else x[-1] for x, w in zip(fronts, whole, strict=True)])
     below = np.stack([np.searchsorted(x, np.minimum(last, last[i])) for i, x in enumerate(fronts)])
@@ -173,8 +173,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
         able = pairs_mask(side, len(n)) & (100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n))
         if not able.any():
             return
-        mine, owner = keys.flatten().to_numpy(), np.repeat(np.arange(len(n)), np.diff(keys.offsets.to_numpy()))
-        able &= _common(owner[mine < key], mine[mine < key], len(n)) == 0
+        able &= first_shared(key, keys)
         if able.any():
             able &= _may_match([np.frombuffer(x, np.uint32) for x in front.to_pylist()], n, percent)
         for m in np.flatnonzero(able.any(0) | able.any(1)).tolist():
@@ -203,10 +202,10 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
         p = _prefix_len(n, percent)
         for order in (0, 1, 2):
             heads = [x[np.argpartition(_rank_keys(x, rarity.value, order), m - 1)[:m]] if m < len(x) else x for x, m in zip(sets, p.tolist(), strict=True)]
-            able &= _common(np.repeat(np.arange(len(sets)), p), np.concatenate(heads), len(sets)) > 0
+            able &= common(np.repeat(np.arange(len(sets)), p), np.concatenate(heads), len(sets)) > 0
             if not able.any():
                 return
-        inter = _common(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), len(sets))
+        inter = common(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), len(sets))
         able &= 100 * inter >= percent * (np.add.outer(n, n) - inter)
         forest = Forest(len(sets))
         for i, j in zip(*np.nonzero(able), strict=True):
@@ -223,28 +222,6 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _common(owner: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
-    """Sizes of all pairwise intersections in one cell, over tokens that more than one member has, a slab of tokens at a time."""
-    out = np.zeros((n, n), np.int64)
-    by = np.argsort(tokens, kind="stable")
-    owner, tokens = owner[by], tokens[by]
-    new = np.ones(len(tokens), bool)
-    new[1:] = tokens[1:] != tokens[:-1]
-    code = np.cumsum(new) - 1
-    keep = np.bincount(code, minlength=1)[code] > 1
-    owner, code = owner[keep], code[keep]
-    if not len(code):
-        return out
-    code = np.cumsum(np.concatenate([[0], code[1:] != code[:-1]]))
-    slab = max(1, (1 << 22) // n)
-    for lo in range(0, int(code[-1]) + 1, slab):
-        a, b = np.searchsorted(code, (lo, lo + slab))
-        m = np.zeros((n, min(slab, int(code[-1]) + 1 - lo)), np.float32)
-        m[owner[a:b], code[a:b] - lo] = 1
-        out += np.rint(m @ m.T).astype(np.int64)
-    return out
-
-
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, without near duplicates: of each group the row of the smallest doc_id stays.
 
