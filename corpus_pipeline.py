@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one nearly or exactly go; so do documents of which nothing is left."""
-    out = dedup_lines(docs)
+    """Lines of 24 code points or more that repeat an earlier one nearly or exactly go; so do documents of which nothing is left."""
+    out = dedup_lines(docs, equal_short=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
@@ -35,7 +35,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of benchmark items go."""
+    """Documents in which a window of a benchmark item occurs go, however long they are."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
