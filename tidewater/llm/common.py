@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: shared storage, block merging, bitmaps."""
+"""Helpers shared by the corpus operators: shared storage, block merging, Bloom filters, components."""
 
 from __future__ import annotations
 
@@ -95,29 +95,26 @@ def blocks_of(values: np.ndarray):
             yield k // BLOCK, pack(part)
 
 
-def merge_blocks(parts: DataFrame, dtype: str, how: str, blocks: int = 1024) -> DataFrame:
-    """Combine rows (block int, data binary) by block, with "add", "or" or "count" (bits seen once, then bits seen twice). One task holds a part of the blocks, each of fixed size."""
-
-    def count(held, part):
-        n = len(part) // 2
-        return np.concatenate([held[:n] | part[:n], held[n:] | part[n:] | (held[:n] & part[:n])])
+def merge_blocks(parts: DataFrame, dtype: str) -> DataFrame:
+    """Sum rows (block int, data binary) by block. One task holds a part of the blocks, each of fixed size."""
 
     def merge(frames):
         held: dict[int, np.ndarray] = {}
-        combine = {"add": np.add, "or": np.bitwise_or, "count": count}[how]
         for pdf in frames:
             for block, data in zip(pdf["block"], pdf["data"], strict=True):
                 part = unpack(data, dtype)
-                held[block] = combine(held[block], part) if block in held else part
+                held[block] = held[block] + part if block in held else part
         yield pd.DataFrame({"block": list(held), "data": [pack(x) for x in held.values()]})
 
-    n = min(16, partitions(parts.sparkSession), -(-blocks // 64))
+    n = min(16, partitions(parts.sparkSession))
     return parts.repartition(n, "block").mapInPandas(merge, "block int, data binary")
 
 
 #: Bits for each key of a bitmap and the limits of its size (128 KB to 64 MB), and its hash functions.
-KEY_BITS, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 29
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
+KEY_BITS, MIN_BITS, MAX_BITS = 12, 1 << 20, 1 << 29
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+#: Bit numbers that a task gathers before it sorts and sends them, and bits of one block.
+MARKS, BLOCK_BITS = 1 << 22, 1 << 16
 
 
 def slots(keys: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
@@ -145,40 +142,63 @@ class Bitmap:
         return out
 
 
-def _set(bits: np.ndarray, s: np.ndarray) -> None:
-    np.bitwise_or.at(bits, s >> np.uint64(3), np.uint8(1) << (s & np.uint64(7)).astype(np.uint8))
-
-
-def bit_size(n: int, limit: int = MAX_BITS) -> int:
-    return min(limit, max(MIN_BITS, 1 << int(max(1, KEY_BITS * n) - 1).bit_length()))
+def bit_size(n: int, limit: int = MAX_BITS, bits: int = KEY_BITS) -> int:
+    """A power of two: `bits` for each of n keys or up to twice as many, within the limits."""
+    return min(limit, max(MIN_BITS, 1 << int(max(1, bits * n) - 1).bit_length()))
 
 
-def marked(df: DataFrame, keys_of, size: int, twice: bool = False):
+def marked(df: DataFrame, keys_of, size: int, twice: bool = False) -> np.ndarray:
     """Bits of a Bitmap of the uint64 keys that keys_of yields from the Arrow batches of a partition of df; with `twice`, of those yielded more than once (or taken for one).
 
-    A task sends non-empty blocks of its bits only, and the driver takes one
-    partition of merged blocks at a time; all sizes are bounded by `size`.
+    Tasks send bit numbers within blocks, two bytes each; the driver takes one
+    partition of finished blocks at a time. What the driver and any task holds
+    is bounded by `size`.
     """
     import pyarrow as pa
 
+    def flush(held):
+        at = np.sort(np.concatenate(held))
+        if twice:
+            at = at[np.concatenate([[True, True], at[2:] != at[:-2]])[: len(at)]]
+        else:
+            at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+        block = (at >> np.uint64(16)).astype(np.int32)
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        offsets = np.append(first, len(at)) * 2
+        data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(at.astype(np.uint16))])
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), data.cast(pa.binary())], ["block", "data"])
+
     def mark(batches):
-        bits, again = np.zeros(size // 8, np.uint8), np.zeros(size // 8 if twice else 0, np.uint8)
+        held, n = [], 0
         for keys in keys_of(batches):
-            for odd in ODD:
-                s = slots(keys, size, odd)
+            if len(keys):
+                held += [slots(keys, size, odd) for odd in ODD]
+                n += len(ODD) * len(keys)
+            if n >= MARKS:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
+
+    def merge(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                once, more = held.setdefault(block, (np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS if twice else 0, bool)))
+                at = np.frombuffer(data.as_buffer(), np.uint16)
                 if twice:
-                    s, n = np.unique(s, return_counts=True)
-                    _set(again, s[(n > 1) | ((bits[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1)])
-                _set(bits, s)
-        for k in range(0, len(bits), BLOCK):
-            if bits[k : k + BLOCK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int32()), pa.array([pack(np.concatenate([bits[k : k + BLOCK], again[k : k + BLOCK]]))], pa.binary())], ["block", "data"])
-
+                    more[at[once[at]]] = True
+                    more[at[1:][at[1:] == at[:-1]]] = True
+                once[at] = True
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x[twice], bitorder="little").tobytes() for x in held.values()], pa.binary())], ["block", "data"])
+
+    schema = "block int, data binary"
+    n = min(16, partitions(df.sparkSession), -(-size // BLOCK_BITS // 64))
     out = np.zeros(size // 8, np.uint8)
-    for row in merge_blocks(df.transform(arrow_map, mark, "block int, data binary"), "uint8", "count" if twice else "or", size // 8 // BLOCK).toLocalIterator():
-        part = unpack(row["data"], "uint8")
-        part = part[len(part) // 2 :] if twice else part
-        out[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
+    for row in df.transform(arrow_map, mark, schema).repartition(n, "block").transform(arrow_map, merge, schema).toLocalIterator():
+        at = row["block"] * BLOCK_BITS // 8
+        out[at : at + BLOCK_BITS // 8] = np.frombuffer(row["data"], np.uint8)
     return out
 
 
@@ -188,15 +208,15 @@ def joined_key(k: np.ndarray, other: np.ndarray) -> np.ndarray:
     return k ^ (k >> np.uint64(32))
 
 
-def bitmap(keys: DataFrame, limit: int = MAX_BITS):
-    """Broadcast bits of a Bitmap of the one long column of `keys`, or of the joined_key of two. Beyond `limit` it only lets more rows pass."""
+def bitmap(keys: DataFrame, bits: int = KEY_BITS):
+    """Broadcast bits of a Bitmap of the one long column of `keys`, or of the joined_key of two. Beyond MAX_BITS it only lets more rows pass."""
 
     def keys_of(batches):
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
             yield joined_key(*columns) if len(columns) > 1 else columns[0].view(np.uint64)
 
-    return keys.sparkSession.sparkContext.broadcast(marked(keys, keys_of, bit_size(keys.count(), limit)))
+    return keys.sparkSession.sparkContext.broadcast(marked(keys, keys_of, bit_size(keys.count(), MAX_BITS, bits)))
 
 
 def components(edges: DataFrame) -> DataFrame:

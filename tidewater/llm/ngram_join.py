@@ -99,7 +99,7 @@ def sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     parts = docs.select("text").transform(arrow_map, count, "block int, data binary")
     out = np.zeros(SKETCH_SLOTS, np.uint8)
-    for row in merge_blocks(parts, "uint32", "add").toLocalIterator():
+    for row in merge_blocks(parts, "uint32").toLocalIterator():
         part = unpack(row["data"], "uint32")
         at = row["block"] * BLOCK
         out[at : at + len(part)] = np.round(2 * np.log2(part.astype(np.float64) + 1)).astype(np.uint8)
