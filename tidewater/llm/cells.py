@@ -63,19 +63,61 @@ def once(rows: DataFrame) -> DataFrame:
     return rows.join(kept, ["key", "lo", "hi"])
 
 
-def in_cells(rows: DataFrame, payload: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
-    """Run fn(key, lo, hi, vid, blk, side, *columns) once for each cell, streamed in sorted order; it yields rows of `schema`.
+def whole_cells(rows: DataFrame, payload: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
+    """Run fn(table) on tables of whole cells, sorted, with columns (key, lo, hi, vid, blk, *columns); it returns a batch of `schema`.
 
     `payload` has one or more equal rows (vid, *columns) of each member. A task
-    holds one cell at a time, two blocks of members at most.
+    holds one batch of rows and one cell at a time, two blocks of members at most.
     """
     spark = rows.sparkSession
-    names = [x.split()[0] for x in schema.split(",")]
     every = rows.join(payload, "vid").select("key", "lo", "hi", "vid", "blk", *columns)
     every = every.repartition(partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vid")
 
-    def cell(part: list[pa.RecordBatch]):
-        group = pa.Table.from_batches(part)
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lo, hi = (batch.column(k).to_numpy() for k in range(3))
+            new = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            cut_at = int(new[-1]) if len(new) else 0
+            if held and (len(new) or (key[0], lo[0], hi[0]) != last):
+                if (key[0], lo[0], hi[0]) != last:
+                    yield fn(pa.Table.from_batches(held))
+                    held = []
+            if len(new):
+                yield fn(pa.Table.from_batches([*held, batch.slice(0, cut_at)]))
+                held = []
+            held.append(batch.slice(cut_at))
+            last = (key[-1], lo[-1], hi[-1])
+        if held:
+            yield fn(pa.Table.from_batches(held))
+
+    return every.transform(arrow_map, run, schema)
+
+
+def starts(table: pa.Table) -> np.ndarray:
+    """Where each cell of a sorted table begins."""
+    key, lo, hi = (table.column(k).to_numpy() for k in range(3))
+    return np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+
+
+def in_cells(rows: DataFrame, payload: DataFrame, columns: list[str], fn, schema: str) -> DataFrame:
+    """whole_cells() with a fn(key, lo, hi, vid, blk, side, *columns) for one cell, which yields rows of `schema`."""
+    names = [x.split()[0] for x in schema.split(",")]
+    kinds = [pa.int32() if n in ("lo", "hi", "blk") else pa.int64() for n in names]
+
+    def cells(table):
+        found = []
+        table = table.combine_chunks()
+        edges = [*starts(table).tolist(), table.num_rows]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if j - i > 1:
+                found += cell(table.slice(i, j - i))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names)
+
+    def cell(group):
         vid = group["vid"].to_numpy()
         new = np.ones(len(vid), bool)
         new[1:] = vid[1:] != vid[:-1]
@@ -89,31 +131,7 @@ def in_cells(rows: DataFrame, payload: DataFrame, columns: list[str], fn, schema
         taken = [group[c].take(pa.array(at)).combine_chunks() for c in columns]
         return list(fn(key, lo, hi, vid[at], blk, None if lo == hi else blk == lo, *taken))
 
-    def batch_of(found):
-        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int32() if n in ("lo", "hi", "blk") else pa.int64()) for n, x in zip(names, zip(*found, strict=True), strict=True)], names)
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        last, found = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, lo, hi = (batch.column(k).to_numpy() for k in range(3))
-            new = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            for i, j in zip([0, *new], [*new, len(key)], strict=True):
-                now = (key[i], lo[i], hi[i])
-                if now != last and held:
-                    found += cell(held)
-                    held = []
-                last = now
-                held.append(batch.slice(i, j - i))
-            if found:
-                yield batch_of(found)
-                found = []
-        if held and (found := cell(held)):
-            yield batch_of(found)
-
-    return every.transform(arrow_map, run, schema)
+    return whole_cells(rows, payload, columns, cells, schema)
 
 
 def pairs_mask(side: np.ndarray | None, n: int) -> np.ndarray:

@@ -32,41 +32,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only in a local session that has none configured."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = held.get() if held.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tidewater-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder, so that a lost executor costs no recomputation of what came before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a written table in the shared folder, so that a lost executor costs no recomputation of what came before."""
+    return saved(df)
+
+
+#: Folders of tables that saved() wrote and discard() has not removed.
+_written: dict[str, SparkSession] = {}
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write as Parquet in the shared folder and read back; removed when the driver exits."""
+    """Write as Parquet in the shared folder and read back; removed by discard(), or when the driver exits."""
     spark = df.sparkSession
     lean(spark)
     path = f"{shared_dir(spark)}/tidewater-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidewater_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that saved() or cut() returned and that nothing reads any more, and shuffle files that nothing refers to."""
+    for df in tables:
+        _remove(df._tidewater_path)
+    spark = tables[0].sparkSession
+    spark.sparkContext._jvm.System.gc()
 
-    def drop() -> None:
+
+def _remove(path: str) -> None:
+    if (spark := _written.pop(path, None)) is not None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_written):
         try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _remove(path)
         except Exception:  # noqa: BLE001  the session is already gone
             pass
 
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def unused(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of df begins with it."""
@@ -235,7 +257,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large.where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").selectExpr("v AS u", "m AS v").union(low.selectExpr("u", "m AS v"))
-        e = cut(small.where("u <> v").distinct())
+        last, e = e, cut(small.where("u <> v").distinct())
+        discard(last, large)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
