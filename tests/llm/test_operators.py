@@ -9,10 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tidewater.llm import kernels as K
 from tidewater.llm import ann, decontaminate, hmm, langid, licences, line_dedup, ngram_join, pieces, secrets, wrappers
 from tidewater.llm.common import components
 
@@ -344,10 +346,31 @@ def test_hmm_recursions_agree_with_enumeration():
     assert counts.sum(1) == pytest.approx([1, 2, 1, 1], rel=1e-4)
 
 
-def test_hmm_is_a_distribution():
-    """The model's probabilities of all one-token texts of its tail and head sum to less than one, with the unseen rest."""
-    model = hmm.Model(np.array([5, 9], np.uint64), np.array([7, 3]), np.full(hmm.TAIL_CLASSES, 2.0), np.full(hmm.TAIL_CLASSES, 2.0), 10, 4)
-    assert ((1 + 1) / (model.kinds_n + model.kinds_v + 1) * model.kinds_v <= 1).all()
+def test_hmm_scores_against_a_plain_recursion(spark, corpus, monkeypatch):
+    """Every score is that of a forward recursion in plain Python, a token at a time, in logarithms, over the fitted parameters."""
+    monkeypatch.setattr(hmm, "MODEL_WORDS", 100)
+    rows = list(corpus[:40]) + [(900, "unseen words only: qqq zzz"), (901, ""), (902, None), (903, "One ONE one")]
+    docs = documents(spark, rows).select("doc_id", "text")
+    model = hmm.fit(docs)[0].open()
+    start, step, emit = (np.log(x) for x in model.exact)
+    counts = Counter(x for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for x in re.findall(r"[^ \t-\r]+", (t or "").translate(ASCII_LOWER)))
+    own = {int(h): k for k, h in enumerate(model.head_h[: model.own])}
+
+    def plain(text):
+        alpha, extra = None, 0.0
+        for word in [*re.findall(r"[^ \t-\r]+", (text or "").translate(ASCII_LOWER)), None]:
+            _, h, kind = hmm.tokens_of(*K.utf8(pa.array([word or ""])))
+            symbol = own.get(int(h[0 if word else -1]))
+            if symbol is None:
+                k = int(kind[0])
+                symbol = 100 + k
+                extra += math.log10((counts[word] + 1) / (model.kinds_n[k] + model.kinds_v[k] + 1))
+            alpha = start if alpha is None else np.array([np.logaddexp.reduce(alpha + step[:, s]) for s in range(hmm.STATES)])
+            alpha = alpha + emit[symbol]
+        return np.logaddexp.reduce(alpha) / math.log(10) + extra
+
+    got = {r["doc_id"]: r["score"] for r in hmm.score(docs).collect()}
+    assert got == pytest.approx({i: plain(t) for i, t in rows}, rel=1e-4)
 
 
 def test_hmm_trains_on_all_texts(spark):
@@ -358,7 +381,7 @@ def test_hmm_trains_on_all_texts(spark):
     assert np.allclose(models[0].emit, models[1].emit, rtol=1e-3) and np.allclose(models[0].step, models[1].step, rtol=1e-3)
     passes, seen = hmm._pass, []
     try:
-        hmm._pass = lambda train, model: seen.append(train.count()) or passes(train, model)
+        hmm._pass = lambda symbols, model: seen.append(symbols.count()) or passes(symbols, model)
         hmm.fit(documents(spark, rows).select("doc_id", "text"))
     finally:
         hmm._pass = passes
@@ -406,9 +429,9 @@ def page(i, body):
     return (i, f"http://Host.example.org/{i}", f"<!DOCTYPE html><html><head><title>t{i}</title><script>var a='</p>';</script></head><body><div id='top-menu'><a>Home</a></div>{body}<footer>&copy; us</footer></body></html>")
 
 
-@pytest.mark.parametrize("broadcast", [20_000, 0])
+@pytest.mark.parametrize("broadcast", [1 << 25, 0])
 def test_wrapper_and_text(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(wrappers, "WRAPPER_BLOCK", broadcast)
+    monkeypatch.setattr(wrappers, "HELD_BYTES", broadcast)
     bodies = [f"<div class='post'><h2>Head {i}</h2><p>First &amp; {i}<br>line<p>Second&nbsp;  {i}</p>" + (f"<ul><li>a{i}<li>b{i}</ul>" if i % 2 else "") + f"<div class='share'>Share</div><span>Read more</span><div class='comments'><p>nice {i}</p></div></div>" for i in range(6)]
     rows = [page(i, b) for i, b in enumerate(bodies)] + [(90, None, None), (91, "", ""), (92, "http://x.org/1", "<article><header><h1>A</h1></header><p>B <b>c</p><aside>no</aside>"), (93, "http://x.org/2", "plain"), (0, rows_url := "http://Host.example.org/0", page(0, bodies[0])[2])]
     assert rows_url
@@ -449,6 +472,50 @@ def test_copies_have_no_template(spark):
         assert got[300 + i] == f"Head {i}\n\nSome words of article {i}."
 
 
+def test_wrappers_decide(spark):
+    """Pages without article elements and with boilerplate of unknown names come out right by their host's wrapper, and not without it."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice("tree stone river cloud grass field night storm".split()) for _ in range(n))
+    rows, want, bare = [], {}, 0
+    for i in range(40):
+        title, parts, extra = words(4), [words(rng.randint(8, 40)) for _ in range(rng.randint(1, 5))], words(6)
+        links = "".join(f"<a href=x>{words(2)}</a> " for _ in range(4))
+        html = f"""<html><body><div class=q1><span>Our site</span>{links}</div><div class=k{i}><div class=z><h1>{title}</h1><div class=b><div class=v9><p>Written by the desk</p><p>All our stories are free</p></div>
+{"".join(f"<p>{p}</p>" for p in parts)}<div class=w><i>Tell a friend</i></div></div></div></div><div class=t7>{extra}</div></body></html>"""
+        rows.append((i, f"http://host.org/{i}", html))
+        want[i] = "\n\n".join([title, *parts])
+        bare += wrappers.extract(html, None, frozenset()) == want[i]
+    assert bare == 0
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), ["page_id"]).collect()}
+    assert got == want
+
+
+def test_deep_pages_and_odd_tags(spark):
+    deep = "<div>" * 10000 + "<p>at the bottom</p>" + "</div>" * 10000
+    spans = "<article>" + "<b>" * 10000 + "bold" + "<p>x</p>" * 50
+    odd = "<article><p class=o'x>It's here</p><p>that's <label>all</label></p><section class='notice-of-meeting'>N</section><div class='share-prices'>S</div><div class='share-buttons'>x</div><div id=post-comments>c</div></article>"
+    rows = [(1, "http://a.org/1", deep), (2, "http://a.org/2", deep.replace("bottom", "end")), (3, "http://b.org/", spans), (4, "http://c.org/", odd)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert got == {1: "at the bottom", 2: "at the end", 3: "\n\n".join(["bold", *["x"] * 50]), 4: "It's here\n\nthat's all\n\nN\n\nS"}
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_alignment_is_a_longest_common_subsequence(x, y):
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+    pairs = wrappers.aligned(x, y)
+    assert len(pairs) == best[-1][-1] and all(x[i] == y[j] for i, j in pairs)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
+
+
+def test_wrappers_are_written_and_read():
+    tree = wrappers.infer(["<p>a<i>b</i></p><p>c</p>", "<p>a</p><div>x</div>"])
+    assert wrappers.loaded(wrappers.dumped(tree)) == tree
+
+
 @given(st.text("<>/abp \"'=!-&;", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_any_markup_is_read(text):
