@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
 from tidewater.llm import ann, decontaminate, hmm, langid, licences, line_dedup, ngram_join, pieces, secrets, wrappers
@@ -231,6 +232,15 @@ def test_line_dedup(spark, corpus):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
+@given(st.lists(st.tuples(st.text("abc", max_size=12), st.text("abc", max_size=12), st.integers(0, 9)), min_size=1, max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_edit_distances_in_step(pairs):
+    pairs = [(a + "x" * 40 + b, b + "x" * 40 + a, k) for a, b, k in pairs] * 4
+    a, b, k = zip(*pairs, strict=True)
+    got = line_dedup.all_within(list(a), list(b), np.array(k))
+    assert got.tolist() == [distance(x, y) <= n for x, y, n in pairs]
+
+
 def test_line_buckets_beyond_one_block(spark):
     """More lines that share a segment than a block holds still meet, whichever block they are in."""
     rng = random.Random(9)
@@ -346,9 +356,8 @@ def test_hmm_recursions_agree_with_enumeration():
     assert counts.sum(1) == pytest.approx([1, 2, 1, 1], rel=1e-4)
 
 
-def test_hmm_scores_against_a_plain_recursion(spark, corpus, monkeypatch):
+def test_hmm_scores_against_a_plain_recursion(spark, corpus):
     """Every score is that of a forward recursion in plain Python, a token at a time, in logarithms, over the fitted parameters."""
-    monkeypatch.setattr(hmm, "MODEL_WORDS", 100)
     rows = list(corpus[:40]) + [(900, "unseen words only: qqq zzz"), (901, ""), (902, None), (903, "One ONE one")]
     docs = documents(spark, rows).select("doc_id", "text")
     model = hmm.fit(docs)[0].open()
@@ -363,7 +372,7 @@ def test_hmm_scores_against_a_plain_recursion(spark, corpus, monkeypatch):
             symbol = own.get(int(h[0 if word else -1]))
             if symbol is None:
                 k = int(kind[0])
-                symbol = 100 + k
+                symbol = hmm.MODEL_WORDS + k
                 extra += math.log10((counts[word] + 1) / (model.kinds_n[k] + model.kinds_v[k] + 1))
             alpha = start if alpha is None else np.array([np.logaddexp.reduce(alpha + step[:, s]) for s in range(hmm.STATES)])
             alpha = alpha + emit[symbol]
@@ -422,6 +431,21 @@ def test_neighbours(spark):
     assert ann.neighbours(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_cosines_of_extreme_components(spark):
+    rows = [(0, [1e200, 1.0]), (1, [1.0, 1.0]), (2, [1e-200, 1e-200]), (3, [-1e300, 1e300]), (4, [5e-324, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.neighbours(vectors, vectors).collect()}
+    h = math.sqrt(0.5)
+    want = {(0, 1): h, (0, 2): h, (0, 3): -h, (0, 4): 1.0, (1, 2): 1.0, (1, 3): 0.0, (1, 4): h, (2, 3): 0.0, (2, 4): h, (3, 4): -h}
+    assert got == pytest.approx(want | {(b, a): s for (a, b), s in want.items()}, abs=1e-12)
+
+
+def test_numbers_that_place_one_each(spark):
+    for n in (1, 7, 64):
+        frame = spark.createDataFrame([(x,) for x in ann.one_each(spark, n)], "x int").repartition(n, "x")
+        assert [r["n"] for r in frame.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()] == [1] * n
+
+
 # 6: pages
 
 

@@ -1,7 +1,9 @@
 """Operator 5: approximate nearest neighbours by robust-pruned directed graphs, one for each shard.
 
-Distinct vectors are dealt into shards of about SHARD_SIZE by a hash. Within a
-shard a directed graph is grown from random edges: a greedy beam search for
+Distinct vectors are dealt into shards by a hash: of about SHARD_SIZE vectors,
+or more where that would make more than SHARDS_EACH shards for each shuffle
+partition, but no more than SHARD_MOST. Within a shard
+a directed graph is grown from random edges: a greedy beam search for
 each point proposes neighbours, and pruning keeps a proposal only if no kept
 one is closer to it by the factor ALPHA, so that long and diverse edges stay;
 reverse edges are added and pruned the same way. Beam searches of all points
@@ -9,10 +11,13 @@ of a batch run in step. Every query then searches every shard, and the best of
 all shards are ranked by the exact cosine in double precision.
 
 Equal vectors are one node that carries its smallest ids (more than a result
-can use), so a very common vector costs nothing. Vectors meet only vectors of
-their own dimension. Defined results: vectors null, zero or with null or
-non-finite components take no part, neither as queries nor as candidates; ties
-go to the smaller vec_id; a repeated vec_id counts once.
+can use) and is searched once, so a very common vector costs nothing. Vectors
+meet only vectors of their own dimension, and are scaled by a power of two, so
+that components of any finite size have a cosine. Defined results: vectors
+null, zero or with null or non-finite components take no part, neither as
+queries nor as candidates; ties go to the smaller vec_id; a vec_id repeated
+with the same vector counts once; an empty table has no rows; other columns,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +29,10 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import cut, partitions, table
 
-SHARD_SIZE, DEGREE, BEAM, ALPHA = 4096, 24, 64, 1.2
+SHARD_SIZE, SHARD_MOST, SHARDS_EACH = 4096, 1 << 16, 4
+#: Shards that are dealt to partitions one by one; more of them are spread by a hash.
+PLACED = 1024
+DEGREE, BEAM, ALPHA = 24, 64, 1.2
 SEARCH_BEAM, WIDTH, STARTS, BATCH = 128, 4, 24, 512
 NEIGHBOURS, EVERY = 5, 50
 
@@ -126,12 +134,18 @@ def _add_reverse(x, graph, points, alpha):
             graph[t] = robust_prune(x, t, ids, graph.shape[1], alpha)
 
 
+def scaled(vectors: list) -> np.ndarray:
+    """Rows of doubles, each times a power of two that brings its largest component near one."""
+    x = np.array([np.asarray(v, np.float64) for v in vectors])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 class Shard:
     """The vectors of one shard and their graph; few vectors are searched one and all."""
 
     def __init__(self, ids: list, vectors: list):
         self.ids = ids
-        self.exact = np.array([np.asarray(v, np.float64) for v in vectors])
+        self.exact = scaled(vectors)
         self.norm = np.sqrt((self.exact * self.exact).sum(1))
         self.x = np.concatenate([(self.exact / self.norm[:, None]), np.zeros((1, self.exact.shape[1]))]).astype(np.float32)
         self.graph = build(self.x[:-1]) if len(ids) > 2 * SEARCH_BEAM else None
@@ -153,7 +167,7 @@ class Shard:
                     yield i, int(found[i, j]), float(score[i, j])
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, shard_size: int = SHARD_SIZE) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, shard_size: int | None = None) -> DataFrame:
     """Rows (query_id, rank, vec_id, score) of the k nearest rows of vectors (vec_id, embedding) found for each of queries (likewise), itself left out."""
     spark = vectors.sparkSession
     valid = lambda df: (
@@ -164,16 +178,26 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, shar
     key = F.xxhash64("embedding").alias("node")
     ranked = valid(vectors).distinct().withColumn("nth", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     nodes = cut(ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.size("embedding").alias("dim"), key, "ids", "embedding"))
-    sizes = {r["dim"]: max(1, -(-r["n"] // shard_size)) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    counts = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    most = shard_size or min(SHARD_MOST, max(SHARD_SIZE, sum(counts.values()) // (SHARDS_EACH * partitions(spark))))
+    sizes = {dim: max(1, -(-n // most)) for dim, n in counts.items()}
     shards = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("dim"))
     asked = valid(queries).select(F.size("embedding").alias("dim"), key, "embedding", "vec_id")
     wanted = asked.dropDuplicates(["node"]).where(F.col("dim").isin(list(sizes)))
     rows = nodes.select("dim", F.pmod("node", shards).cast("int").alias("shard"), F.lit(0).alias("kind"), "node", "ids", "embedding").union(
         wanted.select("dim", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), F.lit(1), "node", F.expr("CAST(NULL AS array<bigint>)"), "embedding")
     )
-    rows = rows.repartition(max(partitions(spark), 2 * sum(sizes.values())), "dim", "shard").sortWithinPartitions("dim", "shard", "kind", "node")
+    first, n = {}, 0
+    for dim, number in sizes.items():
+        first[dim], n = n, n + number
+    of_dim = F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.col("dim"))
+    if n <= PLACED:
+        rows = rows.repartition(n, F.element_at(F.array(*[F.lit(x) for x in one_each(spark, n)]), of_dim + F.col("shard") + 1))
+    else:
+        rows = rows.repartition(2 * n, "dim", "shard")
+    rows = rows.sortWithinPartitions("dim", "shard", "kind", "node")
     names = ["node", "ids", "score"]
 
     def run(frames):
@@ -189,17 +213,28 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, shar
                 if not held[0]:
                     continue
                 shard = shard or Shard(*held)
-                asked_now = np.array([np.asarray(v, np.float64) for v in part["embedding"]])
+                asked_now = scaled(part["embedding"])
                 node = part["node"].to_numpy()
                 found = [(node[i], shard.ids[j], s) for i, j, s in shard.search(asked_now, 3 * k)]
                 yield pd.DataFrame(found, columns=names)
 
     found = rows.mapInPandas(run, "node long, ids array<long>, score double")
-    near = found.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), F.get("ids", F.lit(0))))).where(F.col("nth") <= 3 * k)
-    pairs = asked.select("node", F.col("vec_id").alias("query_id")).distinct().join(cut(near), "node")
-    pairs = pairs.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    out = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+    found = found.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), F.get("ids", F.lit(0))))).where(F.col("nth") <= 3 * k)
+    # Each node's list once; its queries take theirs from it.
+    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")))
+    near = cut(found.select("node", "score", F.explode("ids").alias("vec_id")).groupBy("node").agg(F.slice(best, 1, k + 1).alias("best")))
+    pairs = asked.select("node", F.col("vec_id").alias("query_id")).distinct().join(near, "node")
+    own = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    out = pairs.select("query_id", F.posexplode(own).alias("rank", "near"))
+    return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "near.vec_id", (-F.col("near.far")).alias("score"))
+
+
+def one_each(spark: SparkSession, n: int) -> list[int]:
+    """n numbers that a repartition by them deals out to n partitions, one each."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    found = {r["at"]: r["id"] for r in spark.range(40 * n + 1000).groupBy(place.alias("at")).agg(F.min("id").alias("id")).collect()}
+    spare = iter(range(40 * n + 1000, 41 * n + 1000))
+    return [int(found[k]) if k in found else next(spare) for k in range(n)]
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

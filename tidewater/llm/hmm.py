@@ -11,17 +11,20 @@ the model one over all texts.
 Training: parameters start at random, each state nearer to the beginning of one
 of a few texts; then PASSES Baum-Welch iterations run, each over all training
 texts: a task sums expected counts of its own texts and the sums are merged
-across partitions. Training
-cuts texts into segments of SEGMENT tokens; a segment that continues a text
-starts in the stationary distribution. Scoring never cuts: the scaled forward
+across partitions. Texts are turned into symbols once, in a table that all
+iterations read. Training cuts texts into segments of SEGMENT tokens; a segment
+that continues a text starts in the stationary distribution. Scoring never cuts: the scaled forward
 recursion runs over each whole text, many texts in step.
 
-Memory: the counts of at most HEAD most frequent tokens are broadcast; the counts of all others meet the texts in a join, which is free of
-hot keys since those are broadcast.
+Memory: the counts of at most HEAD most frequent tokens are broadcast; the
+counts of all others meet the texts in a join, which is free of hot keys since
+those are broadcast.
 
 Defined results: null and empty texts are the end token alone; a null doc_id
 hashes as empty text; equal rows get equal scores; without training rows the
-model is uniform over its symbols and counts are 0.
+model is uniform over its symbols and counts are 0; texts of any length are
+scored whole, a task holding one batch's tokens or one text's; other columns,
+whatever their names, are not looked at and not returned.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ STATES, MODEL_WORDS, TAIL_CLASSES, HEAD = 8, 8192, 256, 1 << 17
 PASSES, SEGMENT = 9, 128
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x51ED270B7F4A7C15)
+#: Tokens that one call of a Baum-Welch step takes, unless one text is longer.
+AT_ONCE = 1 << 17
 #: Tokens whose texts are scored in step.
 IN_STEP = 1 << 20
 
@@ -110,7 +115,7 @@ class Model:
         return np.where((at >= 0) & (at < self.own), at, MODEL_WORDS + kind), at
 
 
-def segments(model: Model, row: np.ndarray, symbol: np.ndarray):
+def segments(row: np.ndarray, symbol: np.ndarray):
     """Segments of at most SEGMENT tokens: (matrix of symbols padded with -1, whether each starts a text)."""
     n = np.bincount(row)
     first = np.cumsum(n) - n
@@ -125,43 +130,41 @@ def segments(model: Model, row: np.ndarray, symbol: np.ndarray):
 
 
 def expected(start, step, emit, seg: np.ndarray, begins: np.ndarray):
-    """Baum-Welch sums of segments: (log10 likelihood, start, transition, emission counts)."""
+    """Baum-Welch sums of segments: (log10 likelihood, start, transition, emission counts). Arrays hold states in rows and segments in columns."""
     states = len(start)
     order = np.argsort(-(seg >= 0).sum(1), kind="stable")
-    seg, begins = seg[order], begins[order]
-    length = (seg >= 0).sum(1)
-    rest = stationary(step)
-    n, width = seg.shape
-    alpha, norm = np.zeros((width, n, states), np.float32), np.ones((width, n), np.float32)
-    live = [int(np.searchsorted(-length, -t, "left")) for t in range(width + 1)]  # those longer than t
+    seg, begins = np.ascontiguousarray(seg[order].T), begins[order]
+    width, n = seg.shape
+    live = (seg >= 0).sum(1).tolist()  # those longer than t, which come first
+    rest, by_state, back = stationary(step), np.ascontiguousarray(emit.T), np.ascontiguousarray(step.T)
+    alpha, given, norm = [], [], []
     for t in range(width):
         m = live[t]
         if not m:
             break
-        a = np.where(begins[:m, None], start, rest) if t == 0 else alpha[t - 1, :m] @ step
-        a = a * emit[seg[:m, t]]
-        norm[t, :m] = a.sum(1)
-        alpha[t, :m] = a / norm[t, :m, None]
+        given.append(by_state.take(seg[t, :m], axis=1))
+        a = (np.where(begins[:m], start[:, None], rest[:, None]) if t == 0 else back @ alpha[t - 1][:, :m]) * given[t]
+        norm.append(a.sum(0))
+        a /= norm[t]
+        alpha.append(a)
     counts, moves = np.zeros((emit.shape[0], states)), np.zeros((states, states))
-    beta = np.ones((n, states), np.float32)
-    gammas, symbols = [], []
-    for t in range(width - 1, -1, -1):
-        m = live[t]
-        if not m:
-            continue
-        if t + 1 < width and live[t + 1]:
+    gammas: list[np.ndarray] = []
+    beta = np.ones((states, n), np.float32)
+    for t in range(len(alpha) - 1, -1, -1):
+        if t + 1 < len(alpha):
             k = live[t + 1]
-            right = emit[seg[:k, t + 1]] * beta[:k] / norm[t + 1, :k, None]
-            moves += (alpha[t, :k].T @ right).astype(np.float64) * step
-            beta[:k] = right @ step.T
-        gammas.append(alpha[t, :m] * beta[:m])
-        symbols.append(seg[:m, t])
-    gamma, symbol = np.concatenate(gammas), np.concatenate(symbols)
-    for s in range(states):
-        counts[:, s] = np.bincount(symbol, weights=gamma[:, s], minlength=emit.shape[0])
-    m = live[0]
-    first = (alpha[0, :m] * beta[:m])[begins[:m]].sum(0) if width else np.zeros(states)
-    return float(np.log10(norm).sum()), first.astype(np.float64), moves, counts
+            right = given[t + 1] * beta[:, :k]
+            right /= norm[t + 1]
+            moves += (alpha[t][:, :k] @ right.T).astype(np.float64) * step
+            beta[:, :k] = step @ right
+        gammas.append(alpha[t] * beta[:, : live[t]])
+    if not alpha:
+        return 0.0, np.zeros(states), moves, counts
+    symbol = np.concatenate([seg[t, : live[t]] for t in range(len(alpha) - 1, -1, -1)])
+    by = np.argsort(symbol, kind="stable")
+    at = np.flatnonzero(np.diff(symbol[by], prepend=-1))
+    counts[symbol[by[at]]] = np.add.reduceat(np.concatenate(gammas, 1).take(by, axis=1), at, axis=1, dtype=np.float64).T
+    return float(sum(np.log10(x).sum(dtype=np.float64) for x in norm)), gammas[-1][:, begins[: live[0]]].sum(1, dtype=np.float64), moves, counts
 
 
 def stationary(step: np.ndarray) -> np.ndarray:
@@ -238,32 +241,52 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         seeds.append(model.symbols_of(h, kind)[0][:SEGMENT])
     model.start, model.step, model.emit = first_guess(unigram, seeds)
     del model.index, model.exact
+    symbols = encoded(train, model)
     for _ in range(PASSES):
-        first, moves, emitted = _pass(train, model)
+        first, moves, emitted = _pass(symbols, model)
         if emitted.sum() > 0:
             model.start, model.step, model.emit = maximise(first, moves, emitted, unigram)
     return model, counts
 
 
-def _pass(train: DataFrame, model: Model):
-    """Expected counts of one Baum-Welch iteration, summed within tasks and then across them."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    sizes = (STATES, STATES * STATES, model.symbols * STATES)
+def encoded(train: DataFrame, model: Model) -> DataFrame:
+    """A table of one row (symbols binary) for each text of train: its symbols, two bytes each, which all iterations read."""
+    shared = train.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = opened(shared)
-        total = np.zeros(sum(sizes))
         for batch in batches:
-            for _, _, data, offsets in K.pieces(batch.column(0)):
+            for i, j, data, offsets in K.pieces(batch.column(0)):
                 row, h, kind = tokens_of(data, offsets)
-                seg, begins = segments(m, row, m.symbols_of(h, kind)[0])
-                _, first, moves, counts = expected(m.start, m.step, m.emit, seg, begins)
-                total += np.concatenate([first, moves.ravel(), counts.ravel()])
-        rows = list(blocks_of(total))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]) * 2
+                data = m.symbols_of(h, kind)[0].astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())], ["symbols"])
+
+    return saved(train.select("text").transform(arrow_map, run, "symbols binary"))
+
+
+def _pass(symbols: DataFrame, model: Model):
+    """Expected counts of one Baum-Welch iteration, summed within tasks and then across them."""
+    spark = symbols.sparkSession
+    sizes = (STATES, STATES * STATES, model.symbols * STATES)
+    shared = spark.sparkContext.broadcast((model.start, model.step, model.emit))
+
+    def run(batches):
+        start, step, emit = shared.value
+        total = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(emit), STATES))]
+        for batch in batches:
+            column = batch.column(0).cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 2
+            data = np.frombuffer(column.buffers()[2] or b"", np.uint16)
+            for i, j in K.chunks(offsets, AT_ONCE):
+                n = np.diff(offsets[i : j + 1])
+                seg, begins = segments(np.repeat(np.arange(j - i), n), data[offsets[i] : offsets[j]])
+                for x, y in zip(total, expected(start, step, emit, seg, begins)[1:], strict=True):
+                    x += y
+        rows = list(blocks_of(np.concatenate([x.ravel() for x in total])))
         yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], ["block", "data"])
 
-    merged = merge_blocks(train.select("text").transform(arrow_map, run, "block int, data binary"), "float64", "add")
+    merged = merge_blocks(symbols.transform(arrow_map, run, "block int, data binary"), "float64")
     total = np.zeros(sum(sizes))
     for row in merged.collect():
         part = unpack(row["data"], "float64")
