@@ -164,6 +164,36 @@ def test_deletes_are_bag_exact(session):
     assert rows(session, "SELECT count(*) FROM t") == ["0"]
 
 
+def test_results_outlive_later_writes(session):
+    session.sql("CREATE TABLE t (a INT)")
+    session.sql("INSERT INTO t VALUES (1), (2)")
+    before = session.sql("SELECT a FROM t")
+    session.sql("DELETE FROM t WHERE a = 1")
+    between = session.sql("SELECT a FROM t")
+    session.sql("INSERT INTO t VALUES (3)")
+    session.sql("COMPACT TABLE t")
+    session.sql("DROP TABLE t")
+    assert sorted(r["a"] for r in before.collect()) == [1, 2] and [r["a"] for r in between.collect()] == [2]
+    assert session.catalog.vacuum() == 0 and session.catalog.vacuum(0) == 4
+
+
+def test_engines_share_a_folder(session):
+    other = Engine(session.spark, session.catalog.location).session()
+    session.sql("CREATE TABLE t (a INT)")
+    other.sql("CREATE TABLE u (a INT)")
+    other.sql("INSERT INTO t VALUES (1)")
+    session.sql("INSERT INTO t VALUES (2)")
+    assert sorted(rows(other, "SELECT a FROM t")) == ["1", "2"] and rows(session, "SHOW TABLES") == ["t", "u"]
+    with pytest.raises(SqlError, match="exists"):
+        session.sql("CREATE TABLE u (a INT)")
+    current = session.catalog.find("default", "t").read()
+    other.sql("INSERT INTO t VALUES (3)")
+    with pytest.raises(SqlError, match="meanwhile"):
+        session.catalog.replace("default", "t", current)
+    assert sorted(rows(session, "SELECT a FROM t")) == ["1", "2", "3"]
+    assert not session.catalog.files.create(session.catalog._file(session.catalog.number), "{}")
+
+
 def test_csv_directory(session, tmp_path):
     d = tmp_path / "in" / "deep"
     d.mkdir(parents=True)

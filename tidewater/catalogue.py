@@ -6,6 +6,8 @@ results are exact whatever the order of summation.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +16,10 @@ from pyspark.sql import types as ST
 
 from tidewater.functions import types as T
 from tidewater.operators import relational as O
-from tidewater.plans import logical as L
 from tidewater.plans.analyze import Analyzer
 from tidewater.plans.parser import parse
 from tidewater.plans.physical import Planner
+from tidewater.session import Engine
 from tidewater.streaming.changelog import grouped_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,10 +242,12 @@ def _delete_limit(spark, read):
     return O.delete_rows(bag, victims)
 
 
-@frame("negate_freq", "SELECT CAST(NULL AS INTEGER) AS n_regionkey, CAST(0 AS BIGINT) AS _freq WHERE false")
+@frame("negate_freq", "SELECT n_regionkey, CAST(count(*) - 2 * count(*) FILTER (WHERE n_nationkey % 2 = 0) AS BIGINT) AS _freq FROM nation GROUP BY 1 HAVING count(*) <> 2 * count(*) FILTER (WHERE n_nationkey % 2 = 0)")
 def _negate(spark, read):
-    n = O.weighted(read("nation").select("n_regionkey"))
-    return O.consolidate(n.unionAll(O.negate(n)))
+    """Rows of even keys go twice, so that some multiplicities are negative."""
+    n = read("nation")
+    even = O.weighted(n.where("n_nationkey % 2 = 0").select("n_regionkey"), 2)
+    return O.consolidate(O.weighted(n.select("n_regionkey")).unionAll(O.negate(even)))
 
 
 @frame("expand_freq", "SELECT n_name FROM nation, range(1, 10) t(i) WHERE i <= n_regionkey")
@@ -266,18 +270,63 @@ def _view(spark, read):
     return Planner(spark).frame(plan)
 
 
-@frame("file_scan_csv", "SELECT c_custkey AS k, c_name AS name FROM customer")
-def _csv(spark, read):
-    """The table written as CSV without a header in the shared folder, and read back by the directory source."""
-    import uuid
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{where}/tidewater-csv-{uuid.uuid4().hex}"
-    read("customer").select("c_custkey", "c_name", "c_mktsegment").write.csv(path)
-    scan = L.FileScan(path, ",", T.SqlType("json", flat=True))
-    a = Analyzer(None, "default")
-    items = a.items(parse('SELECT CAST(data->>"$[0]" AS BIGINT) AS k, data->>"$[1]" AS name').args["query"].items, scan.fields)
-    return Planner(spark).frame(L.Project(items, scan))
+# Statements, each on an engine of its own over a folder that goes when the driver ends.
+
+
+def shared_folder(spark: SparkSession) -> str:
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/tidewater-sql-{uuid.uuid4().hex}"
+
+    def drop() -> None:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session is already gone
+            pass
+
+    atexit.register(drop)
+    return path
+
+
+def statements(name: str, sql: str, *texts: str) -> None:
+    """Register the result of the last of some statements; {folder} is a folder of CSV files of customer. Test tables are there to be read."""
+
+    def run(spark, sf_dir):
+        folder = shared_folder(spark)
+        engine = Engine(spark, f"{folder}/tables")
+        tables = Tables(spark, sf_dir)
+        for t in ("nation", "orders", "customer"):
+            engine.attach(t, tables.find("default", t).read())
+        if any("{folder}" in t for t in texts):
+            tables.find("default", "customer").read().select("c_custkey", "c_name", "c_mktsegment").write.csv(f"{folder}/csv")
+        session = engine.session()
+        for t in texts[:-1]:
+            session.sql(t.replace("{folder}", f"{folder}/csv"))
+        return session.sql(texts[-1].replace("{folder}", f"{folder}/csv"))
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+_NEW = "CREATE TABLE t (k INT, name TEXT)"
+_FILL = "INSERT INTO t SELECT n_regionkey, n_name FROM nation"
+statements("file_scan_csv", "SELECT c_custkey AS k, c_name AS name FROM customer", "SELECT CAST(data->>'$[0]' AS BIGINT) AS k, data->>'$[1]' AS name FROM DIRECTORY '{folder}'")
+statements("insert_from_directory", "SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey < 100", "CREATE TABLE t (k BIGINT, name TEXT)", "INSERT INTO t SELECT CAST(data->>'$[0]' AS BIGINT), data->>'$[1]' FROM DIRECTORY '{folder}' WITH (DELIMITER=',')", "SELECT * FROM t WHERE k < 100")
+statements("insert_values", "SELECT * FROM (VALUES (1, 'x'), (2, NULL), (2, NULL)) t(k, name)", _NEW, "INSERT INTO t VALUES (1, 'x'), (2, NULL), (2, NULL)", "SELECT * FROM t")
+statements("insert_select", "SELECT n_regionkey AS k, n_name AS name FROM nation, range(2)", _NEW, _FILL, _FILL, "SELECT * FROM t")
+statements("insert_is_empty_result", "SELECT CAST(count(*) AS BIGINT) AS n FROM nation WHERE n_regionkey < 0", _NEW, _FILL, "DELETE FROM t", "SELECT count(*) AS n FROM t")
+statements("delete_where", "SELECT n_regionkey AS k, n_name AS name FROM nation WHERE n_regionkey <> 1", _NEW, _FILL, "DELETE FROM t WHERE k = 1", "SELECT * FROM t")
+statements("delete_limit", "SELECT CAST(count(*) - 3 AS BIGINT) AS n, CAST(count(*) FILTER (WHERE n_regionkey = 1) - 3 AS BIGINT) AS ones FROM nation", _NEW, _FILL, "DELETE FROM t WHERE k = 1 LIMIT 3", "SELECT count(*) AS n, count(if(k = 1, 1, NULL)) AS ones FROM t")
+statements("compact_table", "SELECT n_regionkey AS k, n_name AS name FROM nation, range(2)", _NEW, _FILL, _FILL, "COMPACT TABLE t", "SELECT * FROM t")
+statements("stored_view", "SELECT n_name AS name, CAST(n AS BIGINT) AS n FROM nation JOIN (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY 1) ON n_regionkey = k", "CREATE DATABASE other", "CREATE VIEW other.v AS SELECT n_regionkey AS k, count(*) AS n FROM default.nation GROUP BY n_regionkey", "SELECT n_name AS name, n FROM nation JOIN other.v ON n_regionkey = k")
+statements("drop_and_create", "SELECT 7 AS z", _NEW, _FILL, "DROP TABLE t", "CREATE TABLE t (z INT)", "INSERT INTO t VALUES (7)", "SELECT * FROM t")
+statements("use_database", "SELECT 'other' AS d, 5 AS k", "CREATE DATABASE other", "USE other", "CREATE TABLE t (k INT)", "INSERT INTO t VALUES (5)", "SELECT database() AS d, k FROM t")
+statements("drop_database", "SELECT * FROM (VALUES ('default'), ('information_schema'), ('system')) t(name)", "CREATE DATABASE other", "DROP DATABASE other", "SHOW DATABASES")
+statements("show_tables", "SELECT * FROM (VALUES ('customer'), ('nation'), ('orders'), ('t'), ('v')) t(name)", _NEW, "CREATE VIEW v AS SELECT k FROM t", "SHOW TABLES")
+statements("show_functions", "SELECT unnest(['*', '+', '-', '->', '->>', '/', '<', '<=', '=', '>', '>=', '!=', 'and', 'avg', 'between', 'coalesce', 'count', 'database', 'date_sub', 'if', 'isfalse', 'isnull', 'istrue', 'json_extract', 'json_unquote', 'not', 'or', 'sum', 'to_bigint', 'to_bool', 'to_date', 'to_decimal', 'to_int', 'to_json', 'to_jsonpath', 'to_text', 'to_timestamp', 'type_of']) AS name", "SHOW FUNCTIONS")
+statements("explain_statement", "SELECT * FROM (VALUES ('PROJECT', '', '', ''), (' |output_exprs:', '', '', ''), (' |  _col1', '0', 'INTEGER', '7'), (' |source:', '', '', ''), (' |  SINGLE', '', '', '')) t(tree, col_idx, datatype, expression)", "EXPLAIN SELECT 1 + 2 * 3")
+statements("system_tables", "SELECT * FROM (VALUES ('t', 'table'), ('v', 'view')) t(name, type)", _NEW, "CREATE VIEW v AS SELECT k FROM t", "SELECT name, type FROM system.tables WHERE system IS FALSE")
+statements("names_and_variables", "SELECT 16777215 AS a, '' AS b, 2 AS _col3, n_name FROM nation", "SELECT @@max_allowed_packet AS a, @@socket AS b, 1 + 1, `N_Name` -- a comment\n FROM /* another */ Nation")
+statements("limit_forms", "SELECT n_nationkey FROM nation ORDER BY 1 LIMIT 4 OFFSET 3", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 3, 4")
+statements("limit_offset_word", "SELECT n_nationkey FROM nation ORDER BY 1 LIMIT 4 OFFSET 3", "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 4 OFFSET 3")
 
 
 @frame("maintained_view", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(v) AS BIGINT) AS count_v, CAST(sum(v) AS DECIMAL(38,2)) AS sum_v FROM (SELECT event_type, event_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE CAST(value AS DECIMAL(12,2)) END AS v FROM events) WHERE event_id % 3 <> 0 GROUP BY 1")
