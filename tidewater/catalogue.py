@@ -205,13 +205,13 @@ dialect("agg_sum_bigint", "SELECT sum(l_orderkey) AS s FROM lineitem", "SELECT C
 dialect("agg_sum_decimal", "SELECT l_returnflag, sum(l_extendedprice) AS s FROM lineitem GROUP BY l_returnflag", f"SELECT l_returnflag, CAST(sum(l_extendedprice) AS DECIMAL(28,2)) AS s FROM {_LI} GROUP BY 1")
 
 
-def _averages(spark, sf_dir):
-    df = run_sql(spark, sf_dir, "SELECT l_returnflag, avg(l_linenumber) AS i, avg(l_orderkey) AS b, avg(l_tax) AS d FROM lineitem GROUP BY l_returnflag")
-    return df.select("l_returnflag", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("i", "b", "d")])
+def _exact_avg(column: str, scale: int) -> str:
+    """SQL of an average to 14 digits, rounded half up, in whole numbers."""
+    whole = f"((2 * CAST(sum(CAST({column} * {10**scale} AS HUGEINT)) AS HUGEINT) * {10 ** (14 - scale)} + count({column})) // (2 * count({column})))"
+    return f"CAST(({whole} // 100000000000000)::VARCHAR || '.' || lpad(({whole} % 100000000000000)::VARCHAR, 14, '0') AS DECIMAL(28,14))"
 
 
-QUERIES["agg_avg"] = _averages
-SQL["agg_avg"] = f"SELECT l_returnflag, {_round6('l_linenumber')} AS i, {_round6('l_orderkey')} AS b, {_round6('l_tax')} AS d FROM {_LI} GROUP BY 1"
+dialect("agg_avg", "SELECT l_returnflag, avg(l_linenumber) AS i, avg(l_orderkey) AS b, avg(l_tax) AS d FROM lineitem GROUP BY l_returnflag", f"SELECT l_returnflag, {_exact_avg('l_linenumber', 0)} AS i, {_exact_avg('l_orderkey', 0)} AS b, {_exact_avg('l_tax', 2)} AS d FROM {_LI} GROUP BY 1")
 dialect("sort_total", "SELECT o_orderstatus, o_orderkey FROM orders ORDER BY o_orderstatus DESC LIMIT 50", "SELECT o_orderstatus, o_orderkey FROM orders ORDER BY o_orderstatus DESC NULLS LAST, o_orderkey LIMIT 50")
 dialect("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20, 10", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 20")
 dialect("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", f"SELECT o_orderkey, o_totalprice FROM {_OR} ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
