@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ def csv_directory(spark: SparkSession, path: str, delimiter: str = ",", multilin
 
     Records end with the line, so that large files are split among tasks; with
     `multiline` a quoted field may hold line ends, and each file is one task's.
+    Lines without quotes and control characters are split in the JVM.
     """
 
     def records(texts):
@@ -24,15 +26,22 @@ def csv_directory(spark: SparkSession, path: str, delimiter: str = ",", multilin
 
     def parse(frames):
         for pdf in frames:
-            if multiline:
-                lines = (line for text in pdf["value"] for line in text.splitlines(keepends=True))
-                yield pd.DataFrame({"data": list(records(lines))})
-            else:
-                # A quote that a line leaves open ends with the line.
-                yield pd.DataFrame({"data": [r for line in pdf["value"] for r in records([line])]})
+            lines = (line for text in pdf["value"] for line in text.splitlines(keepends=True))
+            yield pd.DataFrame({"data": list(records(lines))})
 
     lines = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=multiline)
-    return lines.mapInPandas(parse, "data string")
+    if multiline:
+        return lines.mapInPandas(parse, "data string")
+
+    @F.pandas_udf("string")
+    def record(line: pd.Series) -> pd.Series:
+        # A quote that a line leaves open ends with the line.
+        return line.map(lambda x: None if x is None else next(records([x]), None))
+
+    line = F.col("value")
+    odd = line.rlike('["\\x00-\\x1f\\\\]')
+    plain = F.to_json(F.split(line, re.escape(delimiter), -1))
+    return lines.where(line != "").select(F.when(odd, record(F.when(odd, line))).otherwise(plain).alias("data")).where("data IS NOT NULL")
 
 
 def field(data, index: int):
