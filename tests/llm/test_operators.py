@@ -150,11 +150,11 @@ def test_banded_distance(a, b, k):
     assert line_dedup.within("x" * 130 + a + "y" * 70, "x" * 130 + b + "y" * 70, k) == (distance("x" * 130 + a + "y" * 70, "x" * 130 + b + "y" * 70) <= k)
 
 
-def may_differ(shorter):
-    return shorter // 20 if shorter >= 60 else 2
+def may_differ(shorter, grows=True):
+    return shorter // 20 if grows and shorter >= 60 else 2
 
 
-def brute_lines(rows, shortest=1):
+def brute_lines(rows, shortest=1, grows=True):
     """{(row, pos): (keep_doc, keep_pos)} of the removed lines of rows (row, doc_id, text), a row being a hash of both others."""
     places, doc_of = {}, {r: i for r, i, _ in rows}
     for r, i, t in rows:
@@ -172,7 +172,7 @@ def brute_lines(rows, shortest=1):
     for n, a in enumerate(lines):
         m = n - 1
         while m >= 0 and len(lines[m]) >= 24 and len(a) - len(lines[m]) <= max(2, len(a) // 20):
-            b, may = lines[m], may_differ(len(lines[m]))
+            b, may = lines[m], may_differ(len(lines[m]), grows)
             if len(a) - len(b) <= may and sum((counts[n] - counts[m]).values()) <= may and distance(a, b) <= may:
                 up[top(a)] = top(b)
             m -= 1
@@ -223,10 +223,10 @@ def test_line_dedup(spark, corpus):
         counted, gone = line_dedup.line_classes(docs, equal_short)
         assert removed_lines(gone) == brute_lines(named, 1 if equal_short else 24)
     assert Counter((r["doc_id"], r["n_lines"]) for r in counted.collect()) == Counter((r[0], 0 if r[1] is None else len(r[1].split("\n"))) for r in rows)
-    kept = line_dedup.dedup_lines(docs, False)
+    kept = line_dedup.dedup_lines(docs, False, line_dedup.NEVER)
     assert kept.columns == docs.columns
     texts = Counter((r["doc_id"], r["text"]) for r in kept.collect())
-    assert texts == without(named, brute_lines(named, 24))
+    assert texts == without(named, brute_lines(named, 24, False))
     for i, line in ((5, "only this row of document 5 has this line of text"), (None, "only one null row has this line of text"), (None, "the other null row has this"), (top, "the largest of ids")):
         assert any(d == i and t and t.endswith(line) for d, t in texts)
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0

@@ -29,6 +29,8 @@ from tidewater.llm.common import table, unused, with_columns
 WINDOW = 13
 #: Words to which suffixes are sorted: 3 in each of DEPTH // 3 integers of 63 bits.
 DEPTH, WORD_BITS = 15, 21
+#: Occurrences that are looked at at once: a passage that many items share has as many for each place.
+MATCHES = 1 << 20
 #: Test words in one broadcast block (their ids fit WORD_BITS).
 BLOCK_WORDS = 1 << 19
 
@@ -92,7 +94,7 @@ def _search(suffixes: list[np.ndarray], wanted: list[np.ndarray], right: bool) -
 
 
 def search_shard(tests: Tests, row: np.ndarray, h: np.ndarray):
-    """(window, word, longest) of every occurrence of a test window among the words of a shard."""
+    """(window, word, longest) of every occurrence of a test window among the words of a shard, at most MATCHES at once."""
     n = len(h)
     where = np.minimum(np.searchsorted(tests.vocab, h), len(tests.vocab) - 1)
     known = np.where(tests.vocab[where] == h, where + 1, 0)
@@ -105,24 +107,24 @@ def search_shard(tests: Tests, row: np.ndarray, h: np.ndarray):
     near = np.minimum(np.searchsorted(tests.grams, gram), len(tests.grams) - 1)
     start = start[tests.grams[near] == gram]
     if not len(start):
-        z = np.zeros(0, np.int64)
-        return z, z, z
+        return
     keys = _keys(ids, start)
     order = np.lexsort(keys[::-1])
     suffixes, start = [k[order] for k in keys], start[order]
     lo, hi = _search(suffixes, tests.low, False), _search(suffixes, tests.high, True)
-    size = hi - lo
-    window = np.repeat(np.arange(len(size)), size)
-    place = start[np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-    length = tests.width[window].copy()
-    room = tests.end[tests.item[window]] - tests.at[window]
-    live = np.flatnonzero(length < room)
-    while len(live):
-        live = live[ids[np.minimum(place[live] + length[live], len(ids) - 1)] == tests.ids[tests.at[window[live]] + length[live]]]
-        length[live] += 1
-        live = live[length[live] < room[live]]
-    word = np.searchsorted(gap, place)
-    return window, word, length
+    last = np.cumsum(hi - lo)
+    for begin in range(0, int(last[-1]), MATCHES):
+        at = np.arange(begin, min(begin + MATCHES, int(last[-1])))
+        window = np.searchsorted(last, at, "right")
+        place = start[hi[window] - (last[window] - at)]
+        length = tests.width[window].copy()
+        room = tests.end[tests.item[window]] - tests.at[window]
+        live = np.flatnonzero(length < room)
+        while len(live):
+            live = live[ids[np.minimum(place[live] + length[live], len(ids) - 1)] == tests.ids[tests.at[window[live]] + length[live]]]
+            length[live] += 1
+            live = live[length[live] < room[live]]
+        yield window, np.searchsorted(gap, place), length
 
 
 def test_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS):
@@ -188,7 +190,10 @@ def _mark(tests, data, offsets, at, old):
                 edge = np.diff(np.concatenate([[0], was, [0]]))
                 hit[first[r] : first[r] + len(edge)] += edge
     if tests is not None and len(h):
-        window, word, length = search_shard(tests, row, h)
+        found = search_shard(tests, row, h)
+    else:
+        found = ()
+    for window, word, length in found:
         np.add.at(hit, word, 1)
         np.add.at(hit, word + tests.width[window], -1)
         owner = row[word]

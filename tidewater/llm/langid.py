@@ -36,7 +36,7 @@ _tables: dict[str, np.ndarray] = {}
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     if not _tables:
-        n = 0x30000
+        n = 0x40000  # no letters beyond plane 3
         chars = [chr(c) for c in range(n)]
         _tables["letter"] = np.array([c.isalpha() for c in chars])
         _tables["lower"] = np.array([ord(x) if len(x := c.lower()) == 1 else i for i, c in enumerate(chars)], np.uint32)

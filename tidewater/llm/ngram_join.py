@@ -225,7 +225,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, without near duplicates: of each group the row of the smallest doc_id stays.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id cannot be told apart and stay.
+    Of rows that repeat a doc_id one with the smallest text stays; rows with a null doc_id cannot be told apart and stay.
     """
     found = ngram_components(docs.select("doc_id", "text"), k, percent)
     mark = unused(docs, "__id")
@@ -235,7 +235,8 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     repeated = cut(docs.where("doc_id IS NOT NULL").groupBy(own.alias(mark)).agg(F.count("*").alias(f"{mark}n")).where(F.col(f"{mark}n") > 1).select(mark))
     if repeated.isEmpty():
         return out
-    one = out.join(repeated, own == F.col(mark), "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = out.join(repeated, own == F.col(mark), "left_semi").groupBy(own.alias(f"{mark}n")).agg(F.min_by(row, F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(mark)).select(f"{mark}.*")
     return out.join(repeated, own == F.col(mark), "left_anti").unionByName(one)
 
 
