@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import saved, table
 from tidewater.llm.decontaminate import clean
 from tidewater.llm.langid import with_language
-from tidewater.llm.line_dedup import dedup_lines
+from tidewater.llm.line_dedup import NEVER, dedup_lines
 from tidewater.llm.ngram_join import one_of_each
 from tidewater.llm.pieces import digests
 
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 24 code points or more that repeat an earlier one nearly or exactly go; so do documents of which nothing is left."""
-    out = dedup_lines(docs, equal_short=False)
+    """Lines of 24 code points or more within two edits of an earlier one go; so do documents of which nothing is left."""
+    out = dedup_lines(docs, equal_short=False, long=NEVER)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
