@@ -46,8 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a written table in the shared folder, so that a lost executor costs no recomputation of what came before."""
-    return saved(df)
+    """Checkpoint in the shared folder, so that a lost executor costs no recomputation of what came before."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 #: Folders of tables that saved() wrote and discard() has not removed.
@@ -67,7 +68,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove tables that saved() or cut() returned and that nothing reads any more, and shuffle files that nothing refers to."""
+    """Remove tables that saved() returned and that nothing reads any more, and shuffle files that nothing refers to."""
     for df in tables:
         _remove(df._tidewater_path)
     spark = tables[0].sparkSession
@@ -257,8 +258,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(large.where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").selectExpr("v AS u", "m AS v").union(low.selectExpr("u", "m AS v"))
-        last, e = e, cut(small.where("u <> v").distinct())
-        discard(last, large)
+        e = cut(small.where("u <> v").distinct())
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
