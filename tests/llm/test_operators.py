@@ -535,6 +535,17 @@ def test_alignment_is_a_longest_common_subsequence(x, y):
     assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:], strict=False))
 
 
+def test_large_wrappers_forget_nothing(spark):
+    """Elements of one page alone decide where the article is, however many there are."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = []
+    for i in range(2):
+        own = "".join(f"<i class=x{name(6000 * i + j)}>w</i>" for j in range(6000))
+        rows.append((i, f"http://wide.org/{i}", f"<html><body><div class=q><p>Same words</p></div><div class=k>{own}</div></body></html>"))
+    found = wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), ["page_id"])
+    assert {r["page_id"]: r["text"] for r in found.collect()} == {0: "w" * 6000, 1: "w" * 6000}
+
+
 def test_wrappers_are_written_and_read():
     tree = wrappers.infer(["<p>a<i>b</i></p><p>c</p>", "<p>a</p><div>x</div>"])
     assert wrappers.loaded(wrappers.dumped(tree)) == tree

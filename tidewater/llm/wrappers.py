@@ -17,11 +17,12 @@ and elements with their texts, that are equal in all pages, where at least
 TEMPLATE_PAGES pages differ in the rest of the article and have more of it
 than of the template (copies of one article have no template).
 
-Only wrappers that pages need are kept: a wrapper of more than MAX_NODES nodes
-forgets optional elements that one page alone has, and nesting below DEEP
-levels is learned as siblings. No html is shuffled; decisions of up to
-HELD_BYTES are broadcast, more of them meet the pages in a join on the host,
-whose hot hosts adaptive execution splits.
+A wrapper keeps every element that any page has, however many there are;
+nesting below DEEP levels is learned as siblings. A task sends its wrappers
+when they have TASK_NODES nodes together, and the task that merges those of a
+host holds the host's wrapper and one batch of parts. No html is shuffled;
+decisions of up to HELD_BYTES are broadcast, more of them meet the pages in a
+join on the host, whose hot hosts adaptive execution splits.
 
 Text in menus, headers, footers, sidebars, forms, scripts and styles is left
 out wherever it stands, by element and role; adverts, notices and comments
@@ -44,15 +45,14 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, saved, table, unused, with_columns
+from tidewater.llm.common import arrow_map, partitions, saved, table, unused, with_columns
 
-TEMPLATE_PAGES, MAX_NODES, DEEP, HELD_BYTES = 4, 20_000, 2000, 1 << 25
-#: Nodes of a task's wrappers, beyond which it sends them and begins anew.
+TEMPLATE_PAGES, DEEP, HELD_BYTES = 4, 2000, 1 << 25
+#: Nodes of a task's wrappers and of the pages since they were counted last, beyond which it sends wrappers of half as many and begins anew.
 TASK_NODES = 200_000
 #: Part of the differing text that the article's container has at least.
 MOST = 0.6
@@ -302,14 +302,6 @@ def merge(a: Node, b: Node, pages: bool = True) -> Node:
     return node
 
 
-def pruned(wrapper: Node) -> Node:
-    """Without optional elements of one page alone, where it has grown beyond MAX_NODES nodes."""
-    if sum(1 for _ in walk(wrapper)) > MAX_NODES and wrapper.seen > 1:
-        for node, _ in list(walk(wrapper)):
-            node.children = [c for c in node.children if not (c.optional and c.seen == 1)]
-    return wrapper
-
-
 def infer(pages: list[str]) -> Node | None:
     wrapper = None
     for page in pages:
@@ -521,6 +513,10 @@ def texts_of(page: str, root: tuple[str, ...] | None, template: frozenset) -> di
     return texts
 
 
+def size_of(wrapper: Node) -> int:
+    return sum(1 for _ in walk(wrapper))
+
+
 def fit(pages: DataFrame) -> DataFrame:
     """Rows (host, expression, decision) of every host, from all its pages (url, html)."""
     rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html")).where("html IS NOT NULL")
@@ -531,33 +527,43 @@ def fit(pages: DataFrame) -> DataFrame:
         size = 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([dumped(pruned(x)) for x in held.values()], pa.binary())], ["host", "part"])
+            for host, wrapper in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([dumped(wrapper)], pa.binary())], ["host", "part"])
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tree = tree_of(page.as_py())
-                if host in held:
-                    held[host] = merge(held[host], tree)
-                    size += 1
-                else:
-                    held[host] = tree
-                    size += sum(1 for _ in walk(tree))
-                if held[host].seen % 256 == 0:
-                    pruned(held[host])
+                size += size_of(tree)
+                held[host] = merge(held[host], tree) if host in held else tree
                 if size > TASK_NODES:
-                    yield flush()
-                    held, size = {}, 0
-        if held:
-            yield flush()
-
-    def wrap(key, pdf):
+                    # Most of a page is in its wrapper already.
+                    size = sum(map(size_of, held.values()))
+                    if 2 * size > TASK_NODES:
+                        yield from flush()
+                        held, size = {}, 0
+        yield from flush()
+
+    def wrap(batches):
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEP))
-        wrapper = None
-        for part in pdf["part"].sort_values():
-            wrapper = loaded(part) if wrapper is None else pruned(merge(wrapper, loaded(part)))
-        return pd.DataFrame({"host": [key[0]], "expression": [expression(wrapper)], "decision": [pickle.dumps(decide(wrapper))]})
+        host, wrapper = None, None
+
+        def told():
+            return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([expression(wrapper)], pa.string()), pa.array([pickle.dumps(decide(wrapper))], pa.binary())], ["host", "expression", "decision"])
 
-    return saved(rows.transform(arrow_map, learn, "host string, part binary").groupBy("host").applyInPandas(wrap, "host string, expression string, decision binary"))
+        for batch in batches:
+            for of, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if wrapper is not None and of == host:
+                    wrapper = merge(wrapper, loaded(part.as_py()))
+                    continue
+                if wrapper is not None:
+                    yield told()
+                host, wrapper = of, loaded(part.as_py())
+        if wrapper is not None:
+            yield told()
+
+    parts = rows.transform(arrow_map, learn, "host string, part binary")
+    parts = parts.repartition(partitions(pages.sparkSession), "host").sortWithinPartitions("host", "part")
+    return saved(parts.transform(arrow_map, wrap, "host string, expression string, decision binary"))
 
 
 #: Decisions of a Python worker's last hosts.
