@@ -160,9 +160,10 @@ def expected(start, step, emit, seg: np.ndarray, begins: np.ndarray):
         gammas.append(alpha[t] * beta[:, : live[t]])
     if not alpha:
         return 0.0, np.zeros(states), moves, counts
-    symbol = np.concatenate([seg[t, : live[t]] for t in range(len(alpha) - 1, -1, -1)])
+    # Two bytes hold every symbol, and are sorted by counting.
+    symbol = np.concatenate([seg[t, : live[t]] for t in range(len(alpha) - 1, -1, -1)]).astype(np.uint16)
     by = np.argsort(symbol, kind="stable")
-    at = np.flatnonzero(np.diff(symbol[by], prepend=-1))
+    at = np.flatnonzero(np.diff(symbol[by].astype(np.int32), prepend=-1))
     counts[symbol[by[at]]] = np.add.reduceat(np.concatenate(gammas, 1).take(by, axis=1), at, axis=1, dtype=np.float64).T
     return float(sum(np.log10(x).sum(dtype=np.float64) for x in norm)), gammas[-1][:, begins[: live[0]]].sum(1, dtype=np.float64), moves, counts
 
