@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewater.llm import kernels as K
-from tidewater.llm import ann, decontaminate, hmm, langid, licences, line_dedup, ngram_join, pieces, secrets, wrappers
+from tidewater.llm import ann, cells, common, decontaminate, hmm, langid, licences, line_dedup, ngram_join, pieces, secrets, wrappers
 from tidewater.llm.common import components
 
 ASCII_LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -84,6 +84,18 @@ def test_components_are_exact(spark):
 # 1: secrets
 
 
+def test_few_links_take_no_shuffle(spark, monkeypatch):
+    """Few links are solved by one task, more of them by joins, with one result."""
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1200)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    few = components(edges)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(common, "FEW_EDGES", 10)
+    assert {tuple(r) for r in few.collect()} == {tuple(r) for r in components(edges).collect()}
+    assert components(edges.limit(0)).count() == 0
+
+
 def brute_base(text):
     found = []
     for kind, pattern in enumerate((r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")):
@@ -241,6 +253,24 @@ def test_edit_distances_in_step(pairs):
     assert got.tolist() == [distance(x, y) <= n for x, y, n in pairs]
 
 
+def test_edit_distances_of_any_symbols():
+    rng = random.Random(6)
+    for alphabet in ("ab", "abcdef gh", [chr(0x4E00 + i) for i in range(600)], [chr(0x10000 + i) for i in range(70000)]):
+        a = ["".join(rng.choice(alphabet) for _ in range(rng.choice((0, 1, 40, 400)))) for _ in range(60)]
+        b = ["".join(x if rng.random() < 0.97 else rng.choice(alphabet) for x in t) + rng.choice(("", "x", "xyz")) for t in a]
+        k = np.array([rng.randrange(40) for _ in a])
+        assert line_dedup.all_within(a, b, k).tolist() == [line_dedup.within(x, y, int(n)) for x, y, n in zip(a, b, k, strict=True)]
+
+
+def test_blocks_of_short_lines_are_wide(spark):
+    """A bucket's rows grow with its square only beyond WIDE lines, or fewer long ones."""
+    row = F.lit(12 << 55).alias("key"), F.col("id").alias("vid")
+    members = spark.range(1000).select(*row).select("*", line_dedup.block_of("key"))
+    assert cells.spread(cells.cells_of(members, "size")).count() == 1000
+    kinds = spark.createDataFrame([(0,), (len(line_dedup.CLASSES) - 1,), (line_dedup.SHORT,)], "kind long").select(F.shiftleft("kind", 55).alias("key"))
+    assert [r["size"] for r in kinds.select(line_dedup.block_of("key")).collect()] == [line_dedup.WIDE, cells.BLOCK, line_dedup.WIDE]
+
+
 def test_line_buckets_beyond_one_block(spark):
     """More lines that share a segment than a block holds still meet, whichever block they are in."""
     rng = random.Random(9)
