@@ -333,6 +333,46 @@ def test_line_distance_grows_with_length(spark):
     assert got == {i: top(i) for i in range(len(lines)) if top(i) != i}
 
 
+def test_links_in_a_large_group_join_it_without_all_pairs():
+    """Pairs that links found before have joined are not verified; the groups are those of all pairs."""
+    rng = random.Random(21)
+    bases = ["".join(rng.choice("abcdefgh ") for _ in range(100)) for _ in range(2)]
+    texts = [base[:at] + "X" + base[at + 1 :] for base in bases for at in range(100)] + ["".join(rng.choice("abcdefgh ") for _ in range(100))]
+    i, j = np.triu_indices(len(texts), 1)
+    ok = line_dedup.near_pairs(texts, i, j, line_dedup.LONG)
+    assert np.count_nonzero(ok) < 2 * 4950
+    assert all(distance(texts[a], texts[b]) <= 5 for a, b in zip(i[ok][::50].tolist(), j[ok][::50].tolist(), strict=True))
+    v, label = common.smallest_reachable(i[ok], j[ok])
+    assert dict(zip(v.tolist(), label.tolist(), strict=True)) == {k: k // 100 * 100 for k in range(200)}
+
+
+def test_pairs_of_large_cells_are_those_of_small_ones(monkeypatch):
+    rng = random.Random(22)
+    rows = []
+    for key, lo, hi, n in ((10, 0, 0, 90), (10, 0, 1, 140), (50, 0, 0, 12), (90, 0, 0, 70)):
+        for vid in sorted(rng.sample(range(10000), n)):
+            counts = bytes(rng.randrange(3) for _ in range(line_dedup.BINS))
+            rows.append((key, lo, hi, vid, rng.choice((lo, hi)), rng.randrange(300, 400), counts, sorted(rng.sample(range(200), 8)), rng.randrange(40)))
+    table = pa.table(dict(zip(("key", "lo", "hi", "vid", "blk", "length", "counts", "keys", "label"), map(list, zip(*rows, strict=True)), strict=True)))
+    found = []
+    for crowd in (1, 64, 1 << 30):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        i, j = line_dedup.may_match(table, line_dedup.LONG)
+        found.append(sorted((min(x), max(x)) for x in zip(i.tolist(), j.tolist(), strict=True)))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
+def test_equal_sets_of_lines_are_one_bucket(spark):
+    """Buckets with lines of several classes, each set of members once, in blocks of their size."""
+    rows = [(key, vid, vid % 2, 3) for key in (1, 2) for vid in range(10)] + [(3, vid, vid % 2, 3) for vid in range(9)] + [(4, vid, 5, 3) for vid in range(10)]
+    got = spark.createDataFrame(rows, "key long, vid long, label long, size int").transform(line_dedup.mixed_buckets).collect()
+    sets = {}
+    for r in got:
+        sets.setdefault(r["key"], []).append((r["vid"], r["blk"], r["n_blk"]))
+    assert sorted(sorted(v for v, _, _ in x) for x in sets.values()) == [[*range(9)], [*range(10)]]
+    assert all(n == -(-len(x) // 3) and 0 <= b < n for x in sets.values() for _, b, n in x)
+
+
 def test_equal_short_lines_are_one_class(spark):
     long = "a line that has more than twenty-four characters"
     rows = [(1, f"Of, edti oner.\n\n{long}\nx"), (2, "Of, edti oner.\n\nOf, edti onerX\nOf, edti oner."), (3, f"x\n{long}!\n🙂"), (4, "🙂"), (5, ""), (6, None)]
