@@ -293,6 +293,37 @@ def test_line_buckets_beyond_one_block(spark):
     assert got == {(r, 0): (top(i), 0) for r, i, _ in row_ids(docs) if top(i) != i}
 
 
+def test_lines_that_share_one_segment(spark):
+    """By chance, they meet in no bucket; with as many edits as may be, one in each other segment, they are linked, whichever half of a segment an edit is in."""
+    rng = random.Random(31)
+
+    def some(n):
+        return [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)]
+
+    chance, linked = [], []
+    for n in (130, 240, 900):
+        c = int(line_dedup.CHUNKS[line_dedup.length_class(np.array([n]))[0]])
+        for j in (1, 3, n // 20):
+            shared = some(c)
+            chance += ["".join(some(j * c) + shared + some(n - j * c - c)) for _ in range(2)]
+            for place in (0, 1, c // 2 - 1, c // 2, c - 1):
+                for op in range(3):
+                    a = some(n)
+                    b = list(a)
+                    for i in reversed(range(n // 20 + 1)):
+                        if i != j:
+                            p = i * c + place
+                            b[p : p + (op != 0)] = [] if op == 2 else ["#"]
+                    linked.append(("".join(a), "".join(b)))
+    docs = spark.createDataFrame([(x,) for x in chance], "text string")
+    assert line_dedup.bucket_members(docs, 1000, line_dedup.LONG).count() == 0
+    docs = documents(spark, [(2 * i + k, x) for i, pair in enumerate(linked) for k, x in enumerate(pair)])
+    doc = {r: i for r, i, _ in row_ids(docs)}
+    got = {doc[r]: k[0] for (r, _), k in removed_lines(line_dedup.line_classes(docs)[1]).items()}
+    within = [i for i, (a, b) in enumerate(linked) if line_dedup.within(a, b, may_differ(min(len(a), len(b))))]
+    assert len(within) > 100 and got == {2 * i + 1: 2 * i for i in within}
+
+
 def test_line_distance_grows_with_length(spark):
     """Against brute force: what may differ grows with the shorter line, and pairs on both sides of each bound are told apart."""
     rng = random.Random(12)
