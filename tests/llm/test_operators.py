@@ -435,6 +435,24 @@ def test_hmm(spark, corpus, monkeypatch, head):
     assert all(r["train_tokens"] == 0 for r in empty)
 
 
+@pytest.mark.parametrize("head", [1 << 17, 12])
+def test_hmm_words_of_one_letter(spark, monkeypatch, head):
+    """A word of one letter is one word, whatever white space or row stands before it."""
+    monkeypatch.setattr(hmm, "HEAD", head)
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice(["a", "B", "b", "7", "\x01", "ab", "é", "xyz"]) + rng.choice(" \t\n\r\x0b\x0c") for _ in range(rng.randrange(30)))) for i in range(60)]
+    rows += [(60, "a"), (61, "A\na a\ta"), (62, "\n7\n\n7"), (62, "\n7\n\n7"), (None, "\tb"), (-1, "\tb")]
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    tokens = lambda t: re.findall(r"[^ \t-\r]+", t.translate(ASCII_LOWER)) + [None]
+    counts = Counter(x for i, t in rows if not out(i) for x in tokens(t))
+    total, size = sum(counts.values()), len(counts)
+    docs = documents(spark, rows).repartition(3)
+    assert hmm.count_tokens(docs).count() == len({x for _, t in rows for x in tokens(t)})
+    got = hmm.score(docs).collect()
+    want = Counter((i, out(i), len(w := tokens(t)), sum(counts[x] > 0 for x in w), total, round(sum(math.log10((counts[x] + 1) / (total + size + 1)) for x in w), 6)) for i, t in rows)
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+
+
 def test_hmm_recursions_agree_with_enumeration():
     rng = np.random.default_rng(2)
     start, step, emit = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(4), 3).T

@@ -3,7 +3,7 @@
 Tokens are lower-cased words (A-Z only) and one end token for each text.
 Counts of all training tokens are exact. The MODEL_WORDS most frequent tokens
 are symbols of their own; every other token belongs to one of TAIL_CLASSES
-symbols by its last two bytes, and has the add-one probability
+symbols by its last two bytes (a space before a single one), and has the add-one probability
 (c + 1) / (N + V + 1) within its class, which leaves mass for unseen ones. So
 a state's emissions are one distribution over a fixed number of symbols and
 the model one over all texts.
@@ -53,10 +53,11 @@ def held_out() -> F.Column:
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray):
     """(row, hash, tail class) of all tokens, the end token last in each row."""
-    row, _, end, h = K.words(data, offsets, K.NOT_SPACE)
+    row, start, end, h = K.words(data, offsets, K.NOT_SPACE)
     rows = len(offsets) - 1
     last = K.LOWER[data[end - 1]].astype(np.int32) if len(end) else np.zeros(0, np.int32)
-    before = K.LOWER[data[np.maximum(end - 2, 0)]].astype(np.int32) if len(end) else last
+    # Before a word of one byte a space is taken, whatever stands there: the class follows from the token alone.
+    before = np.where(end - start > 1, K.LOWER[data[np.maximum(end - 2, 0)]], 0x20).astype(np.int32) if len(end) else last
     kind = (last * 37 + before * 101) % TAIL_CLASSES
     place = np.arange(len(row)) + row
     out_row = np.empty(len(row) + rows, np.int64)
