@@ -324,6 +324,42 @@ def test_lines_that_share_one_segment(spark):
     assert len(within) > 100 and got == {2 * i + 1: 2 * i for i in within}
 
 
+@pytest.mark.parametrize("long", [line_dedup.LONG, line_dedup.NEVER])
+def test_keys_in_shares(spark, monkeypatch, long):
+    """Keys are looked at a bounded number at a time, whatever the size of the table, and each of them once."""
+    rng = random.Random(41)
+    rows = []
+    for n in [*range(24, 64, 3), 60, 61, 62, 66, 67, *[100] * 20, 105, 109, 110, 115, 300, 420, 441]:
+        line = [rng.choice("abcdefghijklmnopqrstuvwxyzäß🙂") for _ in range(n)]
+        rows.append("".join(line))
+        for _ in range(2):
+            y = list(line)
+            for _ in range(rng.randint(1, 3)):
+                op, at = rng.randrange(3), rng.randrange(len(y))
+                y[at : at + (op != 0)] = [] if op == 2 else [rng.choice("AÄ🙂")]
+            rows.append("".join(y))
+    rng.shuffle(rows)
+    docs = documents(spark, [(i, "\n".join(rows[5 * i : 5 * i + 5])) for i in range(len(rows) // 5)])
+    members = Counter(tuple(r) for r in line_dedup.bucket_members(docs.select("text"), 10000, long).collect())
+    removed = removed_lines(line_dedup.line_classes(docs, long=long)[1])
+    at_once, one = [], line_dedup.bucket_members
+
+    def counting(texts, n_keys, long, share):
+        at_once.append(n_keys)
+        assert sum(len(line_dedup.Lines(*K.utf8(pa.array([r["text"]], pa.string())), long, share).index_keys(np.arange(r["text"].count("\n") + 1))[1]) for r in texts.collect()) <= 2 * 60
+        return one(texts, n_keys, long, share)
+
+    monkeypatch.setattr(line_dedup, "KEYS_AT_ONCE", 60)
+    monkeypatch.setattr(line_dedup, "SHARES", 1 << 30)
+    monkeypatch.setattr(line_dedup, "bucket_members", counting)
+    lines = line_dedup.by_length(docs.select("text").repartition(1), long)
+    assert Counter(tuple(r) for r in common.read_together(line_dedup.all_members(lines, long)).collect()) == members and max(members.values()) == 1
+    assert len(at_once) >= 8 and max(at_once) <= 60
+    monkeypatch.setattr(line_dedup, "KEYS_AT_ONCE", 400)
+    monkeypatch.setattr(line_dedup, "bucket_members", one)
+    assert removed_lines(line_dedup.line_classes(docs, long=long)[1]) == removed and len(removed) > 20
+
+
 def test_line_distance_grows_with_length(spark):
     """Against brute force: what may differ grows with the shorter line, and pairs on both sides of each bound are told apart."""
     rng = random.Random(12)
